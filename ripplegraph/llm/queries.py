@@ -1,9 +1,14 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from ripplegraph.llm import decontam, mixing, pii, quality, simhash
+from ripplegraph.llm import chunks, decontam, extract, lm, mixing, pii, quality, simhash, tokens, warc
 
 QUERIES = {
+    "op1_extract": extract.op1,
     "op2_pii": pii.op2,
+    "op3_warc": warc.op3,
+    "op4_katz": lm.op4,
+    "op5_tokens": tokens.op5,
+    "op6_chunks": chunks.op6,
     "op7_simhash": simhash.op7,
     "op8_mixing": mixing.op8,
     "op9_decontaminate": decontam.op9,

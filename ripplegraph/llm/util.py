@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _own_dirs: dict[str, str] = {}
 
@@ -68,3 +71,19 @@ def components(edges: DataFrame) -> DataFrame:
         seen = tuple(now)
     low = e.select(F.col("v").alias("u"), "v").unionByName(e)
     return low.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("component"))
+
+
+def by_group(f, ddl: str):
+    """For applyInArrow: f takes the key and the batches of each side, and yields batches of ddl's columns."""
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def whole(key, *sides):
+        return pa.Table.from_batches([b.cast(schema) for b in f(key, *[t.to_batches() for t in sides])], schema)
+
+    def one(key, table):
+        return whole(key, table)
+
+    def two(key, left, right):
+        return whole(key, left, right)
+
+    return one if f.__code__.co_argcount == 2 else two
