@@ -40,76 +40,97 @@ def _has(kind: Column, kinds) -> Column:
     return kind.isin(*kinds)
 
 
-def parse_symbol(symbol: Column) -> Column:
-    """struct<kind, identity_type, project, module, source_root, owner_path, fragment> of a well-formed id; null parts if it has none."""
-    kind = kind_of(symbol)
-    rest = F.regexp_replace(symbol, r"^[^:]*://", "")
-    suffix = F.lit(-1)
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _suffix_at(kind: Column, rest: Column) -> Column:
+    """Where the fragment's delimiter stands, from 0; -1 without one."""
+    at = F.instr(rest, "#") - 1
     for k, token in FLOW_SUFFIX.items():
-        at = (F.length(rest) - F.instr(F.reverse(rest), "@")) if token == "@" else F.instr(rest, token) - 1
-        found = F.instr(rest, token) > 0
-        suffix = F.when((kind == k) & found, at).otherwise(suffix)
-    hash_at = F.instr(rest, "#") - 1
-    cut = F.when(suffix >= 0, suffix).otherwise(hash_at)
-    path = F.when(cut >= 0, F.substring(rest, F.lit(1), cut)).otherwise(rest)
-    fragment = F.when(cut >= 0, F.substring(rest, cut + 2, F.length(rest)))
-    parts = F.split(path, "/", -1)
-    remainder = F.array_join(F.slice(parts, 3, 1_000_000), "/")
-    identity = F.lit(None).cast("string")
+        own = (F.length(rest) - F.instr(F.reverse(rest), "@")) if token == "@" else F.instr(rest, token) - 1
+        at = F.when((kind == k) & (F.instr(rest, token) > 0), own).otherwise(at)
+    return at
+
+
+def _identity_type(kind: Column) -> Column:
+    out = F.lit(None).cast("string")
     for t in ("SYMBOL_ID", "FLOW_ID", "ARTIFACT_ID"):
-        identity = F.when(_has(kind, [k for k, v in IDENTITY_TYPE.items() if v == t]), F.lit(t)).otherwise(identity)
+        out = F.when(_has(kind, [k for k, v in IDENTITY_TYPE.items() if v == t]), F.lit(t)).otherwise(out)
+    return out
+
+
+def _root(kind: Column, identity: Column, remainder: Column) -> Column:
     root = F.when(F.instr(remainder, "/") > 0, F.substring_index(remainder, "/", 1)).otherwise("")
     for r in sorted([*SOURCE_ROOTS, API_ROOT], key=len):  # the longest is asked first
-        known = remainder.startswith(f"{r}/")
-        root = F.when(known & ((kind == "api-endpoint") | F.lit(r != API_ROOT)), F.lit(r)).otherwise(root)
-    root = F.when(identity == "ARTIFACT_ID", F.lit("")).otherwise(root)
-    owner = F.when(root == "", remainder).otherwise(F.substring(remainder, F.length(root) + 2, F.length(remainder)))
-    source = kind == "datasource"
-    return F.struct(
-        kind.alias("kind"),
-        identity.alias("identity_type"),
-        F.get(parts, 0).alias("project"),
-        F.get(parts, 1).alias("module"),
-        F.when(source, F.lit("")).otherwise(root).alias("source_root"),
-        F.when(source, F.lit("")).otherwise(owner).alias("owner_path"),
-        fragment.alias("fragment"),
-    )
+        root = F.when(remainder.startswith(f"{r}/") & ((kind == "api-endpoint") | F.lit(r != API_ROOT)), F.lit(r)).otherwise(root)
+    return F.when((identity == "ARTIFACT_ID") | (kind == "datasource"), F.lit("")).otherwise(root)
+
+
+def parse_symbol(symbol: Column) -> Column:
+    """struct<kind, identity_type, project, module, source_root, owner_path, fragment> of a well-formed id; null parts if it has none."""
+
+    def cut_at(a: Column) -> Column:
+        return let(_suffix_at(a["kind"], a["rest"]), lambda at: F.struct(a["kind"].alias("kind"), F.when(at >= 0, F.substring(a["rest"], F.lit(1), at)).otherwise(a["rest"]).alias("path"), F.when(at >= 0, F.substring(a["rest"], at + 2, F.length(a["rest"]))).alias("fragment")))
+
+    def parts_of(a: Column) -> Column:
+        return let(F.split(a["path"], "/", -1), lambda p: F.struct(a["kind"].alias("kind"), _identity_type(a["kind"]).alias("identity"), F.get(p, 0).alias("project"), F.get(p, 1).alias("module"), F.array_join(F.slice(p, 3, 1_000_000), "/").alias("remainder"), a["fragment"].alias("fragment")))
+
+    def whole(a: Column) -> Column:
+        def named(root: Column) -> Column:
+            owner = F.when(root == "", a["remainder"]).otherwise(F.substring(a["remainder"], F.length(root) + 2, F.length(a["remainder"])))
+            owner = F.when(a["kind"] == "datasource", F.lit("")).otherwise(owner)
+            return F.struct(a["kind"].alias("kind"), a["identity"].alias("identity_type"), a["project"].alias("project"), a["module"].alias("module"), root.alias("source_root"), owner.alias("owner_path"), a["fragment"].alias("fragment"))
+
+        return let(_root(a["kind"], a["identity"], a["remainder"]), named)
+
+    first = F.struct(kind_of(symbol).alias("kind"), F.regexp_replace(symbol, r"^[^:]*://", "").alias("rest"))
+    return let(let(let(first, cut_at), parts_of), whole)
 
 
 def canonical(parsed: Column) -> Column:
     """The id of a parsed symbol."""
-    delimiter = F.lit("#")
-    for k, token in FLOW_SUFFIX.items():
-        delimiter = F.when(parsed["kind"] == k, F.lit(token[0])).otherwise(delimiter)
-    part = lambda c: F.when(parsed[c] == "", F.lit("")).otherwise(F.concat(F.lit("/"), parsed[c]))
-    tail = F.when(F.coalesce(F.trim(parsed["fragment"]), F.lit("")) == "", F.lit("")).otherwise(F.concat(delimiter, parsed["fragment"]))
-    return F.concat(parsed["kind"], F.lit("://"), parsed["project"], F.lit("/"), parsed["module"], part("source_root"), part("owner_path"), tail)
+
+    def of(p: Column) -> Column:
+        delimiter = F.lit("#")
+        for k, token in FLOW_SUFFIX.items():
+            delimiter = F.when(p["kind"] == k, F.lit(token[0])).otherwise(delimiter)
+        part = lambda c: F.when(p[c] == "", F.lit("")).otherwise(F.concat(F.lit("/"), p[c]))
+        tail = F.when(F.coalesce(F.trim(p["fragment"]), F.lit("")) == "", F.lit("")).otherwise(F.concat(delimiter, p["fragment"]))
+        return F.concat(p["kind"], F.lit("://"), p["project"], F.lit("/"), p["module"], part("source_root"), part("owner_path"), tail)
+
+    return let(parsed, of)
 
 
 def symbol_errors(symbol: Column) -> Column:
     """Names of the rules that an id breaks; empty for a valid one."""
-    p = parse_symbol(symbol)
-    kind, path = p["kind"], F.regexp_replace(F.regexp_replace(symbol, r"^[^:]*://", ""), "#.*$", "")
-    owner, fragment = p["owner_path"], F.coalesce(p["fragment"], F.lit(""))
     methods = "|".join(HTTP_METHODS)
-    api = kind == "api-endpoint"
-    flow_owner = (p["identity_type"] == "FLOW_ID") & ~_has(kind, SCOPE_ONLY_FLOWS)
     unsafe = r"[\\?\x00-\x20\x7f]|[^\x00-\x7f]"
-    parts = F.size(F.split(path, "/", -1))
-    rules = {
-        "blank": F.coalesce(F.trim(symbol), F.lit("")) == "",
-        "scheme": ~symbol.rlike(r"^[^:]+://"),
-        "kind": ~_has(kind, IDENTITY_TYPE),
-        "fragment": p["fragment"].isNotNull() & ~_has(kind, FRAGMENT_KINDS) & (p["identity_type"] != "FLOW_ID"),
-        "unsafe": symbol.rlike(unsafe) | fragment.contains("#") | (~flow_owner & owner.contains("#")),
-        "relative": path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)"),
-        "parts": F.when(kind == "datasource", parts != 2).otherwise(parts < 3),
-        "blank_part": (F.coalesce(p["project"], F.lit("")) == "") | (F.coalesce(p["module"], F.lit("")) == ""),
-        "owner": F.when(kind == "datasource", F.lit(False)).otherwise((owner == "") | owner.contains("//") | owner.startswith("/") | (owner.endswith("/") & ~(api & owner.endswith(":/")))),
-        "root": (kind != "datasource") & (p["identity_type"] != "ARTIFACT_ID") & (p["source_root"] == "") & ~_has(kind, (*SCOPE_ONLY_FLOWS, "db-schema")),
-        "separator": F.when(api, ~owner.rlike(rf"^({methods}):/(?!.*:/)") | (p["source_root"] == "")).otherwise(path.contains(":/")),
-    }
-    return F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+
+    def of(x: Column) -> Column:
+        p, path = x["p"], x["path"]
+        kind, owner, fragment = p["kind"], p["owner_path"], F.coalesce(p["fragment"], F.lit(""))
+        api = kind == "api-endpoint"
+        flow_owner = (p["identity_type"] == "FLOW_ID") & ~_has(kind, SCOPE_ONLY_FLOWS)
+        parts = F.size(F.split(path, "/", -1))
+        rules = {
+            "blank": F.coalesce(F.trim(symbol), F.lit("")) == "",
+            "scheme": ~symbol.rlike(r"^[^:]+://"),
+            "kind": ~_has(kind, IDENTITY_TYPE),
+            "fragment": p["fragment"].isNotNull() & ~_has(kind, FRAGMENT_KINDS) & (p["identity_type"] != "FLOW_ID"),
+            "unsafe": symbol.rlike(unsafe) | fragment.contains("#") | (~flow_owner & owner.contains("#")),
+            "relative": path.startswith("/") | path.rlike(r"(^|/)\.\.(/|$)"),
+            "parts": F.when(kind == "datasource", parts != 2).otherwise(parts < 3),
+            "blank_part": (F.coalesce(p["project"], F.lit("")) == "") | (F.coalesce(p["module"], F.lit("")) == ""),
+            "owner": F.when(kind == "datasource", F.lit(False)).otherwise((owner == "") | owner.contains("//") | owner.startswith("/") | (owner.endswith("/") & ~(api & owner.endswith(":/")))),
+            "root": (kind != "datasource") & (p["identity_type"] != "ARTIFACT_ID") & (p["source_root"] == "") & ~_has(kind, (*SCOPE_ONLY_FLOWS, "db-schema")),
+            "separator": F.when(api, ~owner.rlike(rf"^({methods}):/(?!.*:/)") | (p["source_root"] == "")).otherwise(path.contains(":/")),
+        }
+        return F.array_compact(F.array(*[F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+
+    path = F.regexp_replace(F.regexp_replace(symbol, r"^[^:]*://", ""), "#.*$", "")
+    return let(F.struct(parse_symbol(symbol).alias("p"), path.alias("path")), of)
 
 
 def table_of(column: Column) -> Column:
@@ -154,7 +175,7 @@ def symbol(kind: str, project, module, root, owner, fragment: Column | None = No
     col = lambda x: x if isinstance(x, Column) else F.lit(x)
     head = [F.lit(f"{kind}://"), col(project), F.lit("/"), col(module)]
     for p in (root, owner):
-        head += [F.when(col(p) == "", F.lit("")).otherwise(F.concat(F.lit("/"), col(p)))]
+        head += [let(p, lambda x: F.when(x == "", F.lit("")).otherwise(F.concat(F.lit("/"), x))) if isinstance(p, Column) else F.lit(f"/{p}" if p else "")]
     if fragment is not None:
         head += [F.lit(FLOW_SUFFIX.get(kind, "#")[0]), fragment]
     return F.concat(*head)
