@@ -1,9 +1,10 @@
 """Substring dedup by content-defined chunking.
 
-A gear rolling hash runs over the bytes of a text (64-bit, of which the last 32 bytes matter in the upper bits used). A
-chunk starts where the hash is the least within `radius` bytes on either side, so boundaries depend on nearby content
-alone: an insertion only changes the chunks about it, and repeated passages are cut alike wherever they stand. Chunks
-are compared by a 64-bit digest; of equal chunks the first, by doc_id and place, is kept.
+A gear rolling hash of the last 32 bytes runs over the bytes of a text. A chunk starts where the hash is the least within
+`radius` bytes on either side, so boundaries depend on nearby content alone: an insertion only changes the chunks about
+it, and repeated passages are cut alike wherever they stand. Equal least hashes close together only stand in periodic
+text; of these every one that is more than radius after the last counts, and the whole periods between are cut alike
+too. Chunks are compared by a 64-bit digest; of equal chunks the first, by doc_id and place, is kept.
 
 A run of repeated chunks in a row is a repeated span; runs under `min_chars` are left, as short phrases recur by chance.
 As a run has two chunks or more, equal digests of unequal chunks can't make a span on their own.
@@ -36,7 +37,7 @@ def gear(raw: bytes) -> np.ndarray:
 
 
 def boundaries(raw: bytes, radius: int = RADIUS, longest: int = LONGEST) -> list[int]:
-    """Starts of the chunks: 0, strict-on-the-left least hashes within radius, and cuts of chunks over longest."""
+    """Starts of the chunks: 0, least hashes within radius that are more than radius apart, and cuts of chunks over longest."""
     n = len(raw)
     if n <= radius:
         return [0] if n else []
@@ -49,9 +50,12 @@ def boundaries(raw: bytes, radius: int = RADIUS, longest: int = LONGEST) -> list
         span *= 2
     window = np.minimum(least[: n + radius + 1], least[radius - span : radius - span + n + radius + 1])  # over radius values
     before, after = window[:n], window[radius + 1 : radius + 1 + n]
-    at = np.flatnonzero((h < before) & (h <= after))
-    out = [0]
+    at = np.flatnonzero((h <= before) & (h <= after))
+    out, last = [0], -radius - 1
     for b in at[at > 0].tolist():
+        if b - last <= radius:
+            continue
+        last = b
         while raw[b] & 0xC0 == 0x80:  # back to the start of a character
             b -= 1
         if b == out[-1]:

@@ -17,11 +17,12 @@ def test_gear_and_boundaries_match_brute_force():
         want.append(h)
     assert chunks.gear(raw).tolist() == want
     top = 0xFFFFFFFF
-    at = []
+    at, last = [], -99
     for i in range(1, len(raw)):
         left = min(want[max(0, i - 20) : i], default=top)
         right = min(want[i + 1 : i + 21], default=top)
-        if want[i] < left and want[i] <= right:
+        if want[i] <= left and want[i] <= right and i - last > 20:
+            last = i
             while raw[i] & 0xC0 == 0x80:
                 i -= 1
             at.append(i)
@@ -29,6 +30,8 @@ def test_gear_and_boundaries_match_brute_force():
     assert chunks.boundaries(b"") == [] and chunks.boundaries(b"ab") == [0]
     flat = chunks.boundaries(b"x" * 20_000)
     assert max(np.diff([*flat, 20_000])) <= chunks.LONGEST
+    cut = lambda raw: {raw[a:b] for a, b in zip(flat, flat[1:], strict=False)} if (flat := chunks.boundaries(raw)) else set()
+    assert len(cut(b"Of " * 300) & cut(b"start here " + b"Of " * 500)) >= 1
 
 
 def test_insertions_change_few_chunks():
