@@ -10,20 +10,28 @@ from ripplegraph.functions.ids import has_kind, path_key, table_of
 from ripplegraph.operators.traverse import DEFAULT_LIMIT, find_callers, find_downstream
 from ripplegraph.sources.lineage import cut
 
-_rel = F.col("relation_type")
-_src = F.col("source_identity_id")
-_dst = F.col("target_identity_id")
+
+def _rel() -> Column:
+    return F.col("relation_type")
+
+
+def _src() -> Column:
+    return F.col("source_identity_id")
+
+
+def _dst() -> Column:
+    return F.col("target_identity_id")
 
 
 def upstream_bindings(facts: DataFrame, db_facts: DataFrame) -> DataFrame:
     """BINDS_TO facts whose target is a statement among the sources of db_facts."""
-    ids = db_facts.where(_src.startswith("sql-statement://")).select(_src.alias("target_identity_id")).distinct()
-    return facts.where(_rel == "BINDS_TO").join(ids, "target_identity_id", "left_semi")
+    ids = db_facts.where(_src().startswith("sql-statement://")).select(_src().alias("target_identity_id")).distinct()
+    return facts.where(_rel() == "BINDS_TO").join(ids, "target_identity_id", "left_semi")
 
 
 def table_facts(facts: DataFrame, table: str) -> DataFrame:
     """Database facts of a table or of one of its columns: the column's table is derived, so the test is an equality."""
-    return facts.where(_rel.isin(*registry.DB_EDGES) & (_table_by_prefix(_dst) == table))
+    return facts.where(_rel().isin(*registry.DB_EDGES) & (_table_by_prefix(_dst()) == table))
 
 
 def _table_by_prefix(target: Column) -> Column:
@@ -32,27 +40,27 @@ def _table_by_prefix(target: Column) -> Column:
 
 
 def column_facts(facts: DataFrame, column: str) -> DataFrame:
-    return facts.where(_rel.isin(*registry.COLUMN_EDGES) & (_dst == column))
+    return facts.where(_rel().isin(*registry.COLUMN_EDGES) & (_dst() == column))
 
 
-def is_read(relation: Column = _rel) -> Column:
-    return relation.isin("READS_TABLE", "READS_COLUMN")
+def is_read(relation: Column | None = None) -> Column:
+    return (_rel() if relation is None else relation).isin("READS_TABLE", "READS_COLUMN")
 
 
-def is_write(relation: Column = _rel) -> Column:
-    return relation.isin("WRITES_TABLE", "WRITES_COLUMN")
+def is_write(relation: Column | None = None) -> Column:
+    return (_rel() if relation is None else relation).isin("WRITES_TABLE", "WRITES_COLUMN")
 
 
 def db_counts(facts: DataFrame, targets: DataFrame) -> DataFrame:
     """For each id of targets (a table or column): reads, writes, upstream bindings. All targets at once."""
     t = targets.select(F.col("id").alias("target")).distinct()
-    db = facts.where(_rel.isin(*registry.DB_EDGES)).select("fact_ord", "relation_type", "source_identity_id", _dst.alias("at"))
+    db = facts.where(_rel().isin(*registry.DB_EDGES)).select("fact_ord", "relation_type", "source_identity_id", _dst().alias("at"))
     by_table = db.select("*", _table_by_prefix(F.col("at")).alias("target")).join(t.where(F.col("target").startswith("db-table://")), "target")
     by_column = db.where(F.col("relation_type").isin(*registry.COLUMN_EDGES)).select("*", F.col("at").alias("target")).join(t.where(F.col("target").startswith("db-column://")), "target")
     hits = by_table.unionByName(by_column)
     counts = hits.groupBy("target").agg(F.count_if(is_read(F.col("relation_type"))).alias("n_reads"), F.count_if(is_write(F.col("relation_type"))).alias("n_writes"))
     statements = hits.where(F.col("source_identity_id").startswith("sql-statement://")).select("target", F.col("source_identity_id").alias("stmt")).distinct()
-    bound = facts.where(_rel == "BINDS_TO").groupBy(_dst.alias("stmt")).agg(F.count("*").alias("n"))
+    bound = facts.where(_rel() == "BINDS_TO").groupBy(_dst().alias("stmt")).agg(F.count("*").alias("n"))
     ups = statements.join(bound, "stmt").groupBy("target").agg(F.sum("n").alias("n_bindings"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return t.join(counts, "target", "left").join(ups, "target", "left").select("target", zero("n_reads"), zero("n_writes"), zero("n_bindings"))
@@ -65,23 +73,23 @@ def affected_reports(facts: DataFrame, column: str) -> dict[str, DataFrame]:
         table = "db-table://" + column.removeprefix("db-column://").rpartition("#")[0]
         if "#" not in column:
             table = column.replace("db-column://", "db-table://")
-    hits = facts.where(_rel.isin(*registry.DB_EDGES) & _dst.isin(column, table))
-    fallback = hits.agg(F.coalesce(F.bool_or(_dst == table), F.lit(False)).alias("fallback")) if column.startswith("db-column://") else hits.agg(F.lit(False).alias("fallback"))
+    hits = facts.where(_rel().isin(*registry.DB_EDGES) & _dst().isin(column, table))
+    fallback = hits.agg(F.coalesce(F.bool_or(_dst() == table), F.lit(False)).alias("fallback")) if column.startswith("db-column://") else hits.agg(F.lit(False).alias("fallback"))
     mid = hits.select("source_identity_id").distinct()
-    reports = facts.where(_rel.isin(*registry.REPORT_EDGES)).join(mid, "source_identity_id", "left_semi")
-    paths = reports.groupBy(F.array(F.lit(column), _src, _dst).alias("ids")).agg(F.min("fact_ord").alias("first_ord"))
-    ids = reports.select(_dst.alias("id")).distinct()
-    by_source = facts.join(ids, _src == F.col("id"), "left_semi")
-    by_target = facts.join(ids, _dst == F.col("id"), "left_semi")
+    reports = facts.where(_rel().isin(*registry.REPORT_EDGES)).join(mid, "source_identity_id", "left_semi")
+    paths = reports.groupBy(F.array(F.lit(column), _src(), _dst()).alias("ids")).agg(F.min("fact_ord").alias("first_ord"))
+    ids = reports.select(_dst().alias("id")).distinct()
+    by_source = facts.join(ids, _src() == F.col("id"), "left_semi")
+    by_target = facts.join(ids, _dst() == F.col("id"), "left_semi")
     return {"column_facts": hits, "report_facts": by_source.unionByName(by_target).dropDuplicates(["fact_ord"]), "paths": paths, "fallback": fallback}
 
 
 def affected_columns(facts: DataFrame, report: str) -> dict[str, DataFrame]:
     """report_facts, column_facts (a bag), paths: what a report's sources read, write or map to."""
-    reports = facts.where(_rel.isin(*registry.REPORT_EDGES) & (_dst == report))
+    reports = facts.where(_rel().isin(*registry.REPORT_EDGES) & (_dst() == report))
     mid = reports.select("source_identity_id").distinct()
-    columns = facts.where(_rel.isin(*registry.DB_EDGES)).join(mid, "source_identity_id", "left_semi")
-    paths = columns.groupBy(F.array(F.lit(report), _src, _dst).alias("ids")).agg(F.min("fact_ord").alias("first_ord"))
+    columns = facts.where(_rel().isin(*registry.DB_EDGES)).join(mid, "source_identity_id", "left_semi")
+    paths = columns.groupBy(F.array(F.lit(report), _src(), _dst()).alias("ids")).agg(F.min("fact_ord").alias("first_ord"))
     return {"report_facts": reports, "column_facts": columns, "paths": paths}
 
 
@@ -220,8 +228,8 @@ def test_scores(tests: DataFrame, paths: DataFrame, risk: DataFrame, changes: Da
 
 def fan(facts: DataFrame) -> DataFrame:
     """id, fan_in, fan_out over call edges."""
-    calls = facts.where(_rel.isin(*registry.CALL_EDGES))
-    ends = calls.select(F.explode(F.array(F.struct(_src.alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(_dst.alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
+    calls = facts.where(_rel().isin(*registry.CALL_EDGES))
+    ends = calls.select(F.explode(F.array(F.struct(_src().alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(_dst().alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("e"))
     return ends.groupBy("e.id").agg(F.sum("e.i").alias("fan_in"), F.sum("e.o").alias("fan_out"))
 
 
@@ -231,19 +239,19 @@ def hotspots(facts: DataFrame, k: int) -> DataFrame:
 
 def two_cycles(facts: DataFrame) -> DataFrame:
     """a < b that call each other."""
-    e = facts.where(_rel.isin(*registry.CALL_EDGES)).select(_src.alias("a"), _dst.alias("b")).where("a <> b").distinct()
+    e = facts.where(_rel().isin(*registry.CALL_EDGES)).select(_src().alias("a"), _dst().alias("b")).where("a <> b").distinct()
     pair = e.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).count()
     return pair.where("count = 2").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def orphan_entrypoints(facts: DataFrame) -> DataFrame:
     """Targets of routes that call nothing."""
-    routed = facts.where(_rel == "ROUTES_TO").select(_dst.alias("id")).distinct()
-    return routed.join(facts.where(_rel.isin(*registry.CALL_EDGES)).select(_src.alias("id")), "id", "left_anti")
+    routed = facts.where(_rel() == "ROUTES_TO").select(_dst().alias("id")).distinct()
+    return routed.join(facts.where(_rel().isin(*registry.CALL_EDGES)).select(_src().alias("id")), "id", "left_anti")
 
 
 def reports_by_table(facts: DataFrame) -> DataFrame:
     """report, table: all pairs that share a source."""
-    db = facts.where(_rel.isin(*registry.DB_EDGES)).select("source_identity_id", table_of(_dst).alias("table_id")).distinct()
-    reports = facts.where(_rel.isin(*registry.REPORT_EDGES)).select("source_identity_id", _dst.alias("report_id")).distinct()
+    db = facts.where(_rel().isin(*registry.DB_EDGES)).select("source_identity_id", table_of(_dst()).alias("table_id")).distinct()
+    reports = facts.where(_rel().isin(*registry.REPORT_EDGES)).select("source_identity_id", _dst().alias("report_id")).distinct()
     return db.join(reports, "source_identity_id").select("report_id", "table_id").distinct()
