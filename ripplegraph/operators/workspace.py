@@ -124,11 +124,17 @@ def project_root(path: Column) -> Column:
     return F.when(is_bytecode(path) & ~under_web, F.coalesce(made, out)).otherwise(out)
 
 
+def is_signal(path: Column, level: Column) -> Column:
+    """Whether a file tells of a project: build files, code and web folders, bytecode and boundary files."""
+    named = name_of(path).isin(*BUILD_NAMES, ".project", ".classpath")
+    placed = path.rlike(r"(^|/)(src|WebRoot|WebContent|WEB-INF)/")
+    return (level != "L5_SKIPPED") & (is_bytecode(path) | named | placed | (level == "L3_BOUNDARY"))
+
+
 def layouts(files: DataFrame) -> DataFrame:
     """root, layout_type, source_roots, resource_roots, web_roots, classpath, evidence: a row a project."""
     path = F.col("path")
-    skipped = F.col("level").isin("L3_BOUNDARY", "L5_SKIPPED")
-    f = files.where(~skipped).select("path", project_root(path).alias("root")).withColumn("name", name_of(path))
+    f = files.where(is_signal(path, F.col("level"))).select("path", project_root(path).alias("root")).withColumn("name", name_of(path))
     below = F.when(F.col("root") == ".", path).otherwise(F.substring(path, F.length("root") + 2, F.lit(1_000_000)))
     f = f.withColumn("below", below)
     at = lambda child: F.when(F.col("below").startswith(f"{child}/"), F.when(F.col("root") == ".", F.lit(child)).otherwise(F.concat("root", F.lit(f"/{child}"))))
@@ -209,7 +215,7 @@ def review(files: DataFrame) -> DataFrame:
     lay = layouts(files)
     roots = lay.select("root")
     c = owner_roots(clues(files), roots).groupBy("root").agg(F.count("*").alias("n_clues"), F.bool_or(F.col("kind").isin(*JAVA_CLUES)).alias("java_clue"), F.bool_or(F.col("kind").isin(*WEB_CLUES)).alias("web_clue"))
-    b = owner_roots(boundaries(files), roots).groupBy("root").agg(F.count("*").alias("n_boundaries"))
+    b = owner_roots(boundaries(files).where("boundary <> 'UNSUPPORTED'"), roots).groupBy("root").agg(F.count("*").alias("n_boundaries"))
     whole = lay.join(c, "root", "full_outer").join(b, "root", "full_outer")
     none = F.array().cast("array<string>")
     whole = whole.withColumns({x: F.coalesce(x, none) for x in ("source_roots", "resource_roots", "web_roots", "classpath", "evidence")} | {x: F.coalesce(x, F.lit(0)) for x in ("n_clues", "n_boundaries")} | {x: F.coalesce(x, F.lit(False)) for x in ("java_clue", "web_clue")})
@@ -256,7 +262,7 @@ def overview(files: DataFrame) -> DataFrame:
 def confirmation_items(reviewed: DataFrame, files: DataFrame, assisted: bool) -> DataFrame:
     """item: what a user has to confirm in an assisted import."""
     a = reviewed.where("status <> 'READY'").select(F.concat("root", F.lit(" requires confirmation: "), "status").alias("item"))
-    b = boundaries(files).select(F.concat("path", F.lit(" requires confirmation: "), "boundary").alias("item"))
+    b = boundaries(files).where("boundary = 'UNSUPPORTED'").select(F.concat("path", F.lit(" requires confirmation: "), "boundary").alias("item"))
     return a.unionByName(b).where(F.lit(assisted))
 
 

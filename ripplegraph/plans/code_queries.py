@@ -152,7 +152,7 @@ def _(spark, sf_dir):
     return workspace.overview(files(spark, sf_dir))
 
 
-@query("capability_coverage", "SELECT unnest(['JAVA_SOURCE', 'JAVA_BYTECODE', 'JSP_WEB', 'HTML_JS', 'SHELL', 'BUILD_SYSTEM', 'UNSUPPORTED', 'C_NATIVE', 'COBOL']) AS area")
+@query("capability_coverage", f"WITH {_E} SELECT DISTINCT CASE WHEN level = 'L5_SKIPPED' THEN 'UNSUPPORTED' WHEN ends_with(path, '/pom.xml') THEN 'BUILD_SYSTEM' WHEN e = '.java' THEN 'JAVA_SOURCE' WHEN e = '.jar' THEN 'JAVA_BYTECODE' WHEN e = '.jsp' THEN 'JSP_WEB' WHEN e = '.html' THEN 'HTML_JS' WHEN e = '.sh' THEN 'SHELL' WHEN e = '.c' THEN 'C_NATIVE' WHEN e = '.cbl' THEN 'COBOL' END AS area FROM l WHERE level = 'L5_SKIPPED' OR ends_with(path, '/pom.xml') OR e NOT IN ('.xml', '.md')")
 def _(spark, sf_dir):
     return workspace.coverage(files(spark, sf_dir))
 
