@@ -92,6 +92,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     made = cut(few.mapInArrow(_chunks, f"doc_id {kind}, start int, size int, digest bigint"), "chunks")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("start").alias("s"))
     firsts = made.groupBy("digest").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f <> l").select("digest", F.col("f.d").alias("first_doc"), F.col("f.s").alias("first_start"))
+    firsts = cut(firsts, "repeated-digests")  # a join with a table of its own can be split where a digest is very common
     again = made.join(firsts, "digest").where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start"))))
     again = again.select("doc_id", "start", "size", "first_doc").distinct()
     w = Window.partitionBy("doc_id").orderBy("start")
