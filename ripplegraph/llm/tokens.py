@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.util import fresh_path, table
+from ripplegraph.llm.util import cut, fresh_path, table
 
 TOKENIZER, LIMIT, BATCH = "piece_bpe_32k.model", 4096, 64
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens bigint"
@@ -93,6 +93,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, doc_id:
     done = todo.select("digest", "text").mapInArrow(_encode(tokenizer_path), "digest string, n_tokens bigint")
     done.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     cached = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    cached = cut(cached, "token-counts")  # a join with a table of its own can be split where a digest is very common
     sizes = d.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return sizes.join(cached, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
