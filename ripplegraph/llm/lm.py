@@ -34,6 +34,7 @@ from ripplegraph.llm.util import by_group, fresh_path, table
 VOCABULARY, DISCOUNTED, GROUP_TOKENS, FOLDS, HELD_OUT = (1 << 16) - 2, 5, 3_000_000, 7, 2
 END, OTHER, FIRST = 0, 1, 2
 RANGE = 4096  # contexts whose sums are kept together
+PART_BYTES, FAN = 64 << 20, 32
 FIELDS = "g string, p int, payload binary, kind string"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -218,7 +219,7 @@ def _sum_contexts(key, batches):
         for payload in b.column("payload").to_pylist():
             x = np.frombuffer(unpack(payload)).reshape(-1, RANGE)
             total = x.copy() if total is None else total + x
-    yield _batch([(key[0].as_py(), 0, pack(total.tobytes()), "contexts")])
+    yield _batch([(key[0].as_py(), key[1].as_py(), pack(total.tobytes()), "contexts")])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -292,7 +293,7 @@ def _store(df: DataFrame, name: str) -> DataFrame:
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row per row of docs, with the columns of SCORES. vocabulary: at most 65,534."""
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = _parts(docs)
     ident = F.col(doc_id).cast("long")
     held_out = F.crc32(F.coalesce(ident.cast("string"), F.lit(""))) % FOLDS == HELD_OUT
     few = docs.select(ident.alias("doc_id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
@@ -300,7 +301,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     one = _store(few.mapInArrow(_groups(parts, group_tokens), FIELDS), "lm-groups")
     two = _store(of(one, "words").groupBy("p").applyInArrow(by_group(_sum_words(vocabulary), FIELDS), FIELDS), "lm-words")
-    found = [unpack(r.payload) for r in _top(of(two, "unigrams"), vocabulary).collect()]
+    found = [unpack(r.payload) for r in _tree(of(two, "unigrams"), parts, _merge_unigrams(vocabulary)).collect()]  # one row
     n, v, ends, top = found[0] if found else (0, 0, 0, [])
     classes = {b"": END} | {w: FIRST + k for k, (w, _) in enumerate(top)}
     other_n, other_v = n - ends - sum(c for _, c in top), v - (ends > 0) - len(top)
@@ -313,7 +314,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     p1 /= n + FIRST + len(top)
     four = _store(of(three, "bigrams").groupBy("p").applyInArrow(by_group(_sum_bigrams(spark.sparkContext.broadcast(p1)), FIELDS), FIELDS), "lm-counts")
     sums = np.zeros((DISCOUNTED + 3, 1 << 16))
-    for r in of(four, "contexts").groupBy("g").applyInArrow(by_group(_sum_contexts, FIELDS), FIELDS).collect():  # at most 16 rows
+    for r in _tree(of(four, "contexts"), parts, _sum_contexts).collect():  # at most 16 rows
         k = int(r.g) * RANGE
         sums[:, k : k + RANGE] = np.frombuffer(unpack(r.payload)).reshape(-1, RANGE)
     d = discounts(sums[: DISCOUNTED + 1].sum(axis=1))
@@ -321,9 +322,23 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return of(three, "docs").groupBy("g").cogroup(of(four, "counts").groupBy("g")).applyInArrow(by_group(_score(model, int(n)), SCORES), SCORES)
 
 
-def _top(unigrams: DataFrame, vocabulary: int) -> DataFrame:
-    """One row: the totals and the commonest words of all parts, by a tree of merges so that no task has many parts' lists."""
+def _parts(docs: DataFrame) -> int:
+    """As many as the session's shuffles have, and at least one for each PART_BYTES of the input files."""
+    spark = docs.sparkSession
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = size if size < 1 << 60 else 0  # Spark's guess for what it doesn't know is huge
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-known // PART_BYTES), 1_000_000))
+
+
+def _tree(rows: DataFrame, parts: int, merge) -> DataFrame:
+    """One row for each g: rows are merged FAN at a time, so that no task has many parts' rows."""
+    while parts > 1:
+        parts = -(-parts // FAN)
+        rows = rows.withColumn("p", F.floor(F.col("p") / FAN).cast("int")).groupBy("g", "p").applyInArrow(by_group(merge, FIELDS), FIELDS)
+    return rows
+
 
+def _merge_unigrams(vocabulary: int):
     def merge(key, batches):
         n = v = ends = 0
         top: list = []
@@ -332,12 +347,9 @@ def _top(unigrams: DataFrame, vocabulary: int) -> DataFrame:
                 a, t, e, words = unpack(payload)
                 n, v, ends = n + a, v + t, ends + e
                 top = sorted([*top, *words], key=lambda x: (-x[1], x[0]))[:vocabulary]
-        yield _batch([("", key[0].as_py() // 32, pack((n, v, ends, top)), "unigrams")])
+        yield _batch([(key[0].as_py(), key[1].as_py(), pack((n, v, ends, top)), "unigrams")])
 
-    level = unigrams.withColumn("p", F.floor(F.col("p") / 32).cast("int"))
-    for _ in range(2):  # 32 ** 3 parts
-        level = level.groupBy("p").applyInArrow(by_group(merge, FIELDS), FIELDS)
-    return level.withColumn("p", F.lit(0)).groupBy("p").applyInArrow(by_group(merge, FIELDS), FIELDS)
+    return merge
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
