@@ -325,7 +325,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _parts(docs: DataFrame) -> int:
     """As many as the session's shuffles have, and at least one for each PART_BYTES of the input files."""
     spark = docs.sparkSession
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size if size < 1 << 60 else 0  # Spark's guess for what it doesn't know is huge
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-known // PART_BYTES), 1_000_000))
 
