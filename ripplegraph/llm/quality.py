@@ -67,8 +67,8 @@ def windows_of(words: Column, windows) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
 
 
-def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with a struct column `__q`: the base counts and the two histograms."""
+def features(docs: DataFrame, text: str = "text", lang: str = "lang", counts: bool = True) -> DataFrame:
+    """docs with a struct column `__q`: the base counts and the two histograms; without counts only what references need."""
     t = F.coalesce(F.col(text), F.lit(""))
     spaced = _without(t, "\t\n\x0b\x0c\r", " ")
     signs = "".join(k * len(v) for k, v in CLASSES.items())
@@ -87,14 +87,15 @@ def features(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
 
     word_hist = F.coalesce(let(F.coalesce(common, empty_words), lambda x: F.when(F.size(x) > 0, hits(x)).otherwise(F.array().cast("array<bigint>"))), F.array().cast("array<bigint>"))
     chars = let(coded, lambda c: F.array(F.char_length(c).cast("long"), *[(F.octet_length(c) - F.octet_length(F.replace(c, F.lit(k), F.lit("")))).cast("long") for k in CLASSES]))
+    histograms = [n.cast("long").alias("n_words"), chars.alias("chars"), word_hist.alias("common")]
+    if not counts:
+        return df.withColumn("__q", F.struct(*histograms)).drop("__t", "__w")
     q = F.struct(
-        n.cast("long").alias("n_words"),
         F.char_length(F.replace(F.col("__t.spaced"), F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         (F.octet_length(t) - F.octet_length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("__w")).cast("long").alias("n_repeat_words"),
-        chars.alias("chars"),
-        word_hist.alias("common"),
+        *histograms,
     )
     return df.withColumn("__q", q).drop("__t", "__w")
 
@@ -146,9 +147,8 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of docs that are kept, with their columns. Rows stay where they are read: only the references are gathered."""
-    found = features(docs, text, lang)
-    refs = cut(references(found, lang), "quality-refs")
-    return verdicts(found, refs, lang).where("__v.kept").select(*docs.columns)
+    refs = cut(references(features(docs, text, lang, counts=False), lang), "quality-refs")
+    return verdicts(features(docs, text, lang), refs, lang).where("__v.kept").select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
