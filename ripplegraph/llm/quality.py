@@ -142,7 +142,7 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = cut(features(few).select("doc_id", "lang", "__q"), "quality")
     out = verdicts(found, cut(references(found), "quality-refs"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return out.select("doc_id", *[F.col(f"__q.{x}").alias(x) for x in names], *[F.col(f"__v.{x}").alias(x) for x in ("base_failed", "kept", "char_distance", "word_distance")])
+    return out.select("doc_id", *[F.col(f"__q.{x}").alias(x) for x in names], "__v.base_failed", "__v.kept", *[F.round(F.col(f"__v.{x}"), 9).alias(x) for x in ("char_distance", "word_distance")])
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
