@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.functions import registry
@@ -255,3 +255,34 @@ def reports_by_table(facts: DataFrame) -> DataFrame:
     db = facts.where(_rel().isin(*registry.DB_EDGES)).select("source_identity_id", table_of(_dst()).alias("table_id")).distinct()
     reports = facts.where(_rel().isin(*registry.REPORT_EDGES)).select("source_identity_id", _dst().alias("report_id")).distinct()
     return db.join(reports, "source_identity_id").select("report_id", "table_id").distinct()
+
+
+# --- ranks and verdicts ---
+
+
+def path_priority(depth: Column, confidence: Column, end: Column) -> Column:
+    """A score to sort paths by: short, certain and ending at data first. It never changes a path's confidence."""
+    sink = F.when(has_kind(end, ("db-table", "db-column")), 20).when(has_kind(end, ("sql-statement",)), 10).otherwise(0)
+    return sink + 10 * (3 - confidence_rank(confidence)) - depth
+
+
+def limited(paths: DataFrame, max_nodes: int) -> DataFrame:
+    """Paths of each seed while they name at most max_nodes different nodes, in rank order, with the reason for the cut."""
+    first = paths.select("seed", "rank", F.explode("ids").alias("id")).groupBy("seed", "id").agg(F.min("rank").alias("rank"))
+    new = first.groupBy("seed", "rank").agg(F.count("*").alias("n_new"))
+    p = paths.join(new, ["seed", "rank"], "left")
+    p = p.withColumn("n_nodes", F.sum(F.coalesce("n_new", F.lit(0))).over(Window.partitionBy("seed").orderBy("rank")))
+    cut_ = F.max(F.col("n_nodes") > max_nodes).over(Window.partitionBy("seed"))
+    reason = F.when(cut_, "HOT_NODE").when(F.col("truncated"), "PATHS").otherwise("")
+    return p.withColumn("truncation_reason", reason).where(F.col("n_nodes") <= max_nodes).drop("n_new", "n_nodes")
+
+
+# The targets of the two benchmark profiles.
+BENCHMARKS = {"small-fixture": (5_000, 256 << 20), "impact-report": (30_000, 512 << 20)}
+
+
+def benchmark_verdicts(measurements: DataFrame, profiles: DataFrame) -> DataFrame:
+    """profile, passed: whether the last measurement (profile, ts, p95_ms, heap_bytes) keeps the profile's targets; false without one."""
+    last = measurements.groupBy("profile").agg(F.max_by(F.struct("p95_ms", "heap_bytes"), "ts").alias("m"))
+    ok = F.coalesce((F.col("m.p95_ms") <= F.col("target_p95_ms")) & (F.col("m.heap_bytes") <= F.col("target_heap")), F.lit(False))
+    return profiles.join(last, "profile", "left").select("profile", ok.alias("passed"))

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.functions import ids
-from ripplegraph.operators import analyzers, govern, joins, mappers, retrieve, sqlscan, workspace
+from ripplegraph.functions import builders, ids
+from ripplegraph.operators import analyzers, govern, impact, joins, mappers, retrieve, sqlscan, workspace
 from ripplegraph.plans.registered import query
 from ripplegraph.streaming import runs
 
@@ -307,3 +307,37 @@ def _(spark, sf_dir):
         F.when(F.col("conv_id") % 9 == 0, "hidden").otherwise("shop").alias("project_id"), F.create_map(F.when(F.col("turn") == 1, "sqlText").otherwise("query"), F.lit("x")).alias("arguments"), F.lit(True).alias("within_rate"),
     )
     return govern.decisions(r, ["shop"]).select("request_id", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+# --- builders, verdicts ---
+
+
+@query(
+    "symbol_builders",
+    "SELECT p_partkey, 'jsp-input://shop/core/src/main/webapp/p' || p_partkey || '.jsp#form[f]:input[i' || p_size || ']' AS jsp_input, 'param-slot://shop/core/src/main/java/a.B#m(I)V:param[' || p_size || ':I]' AS param_slot, 'request-param://shop/_root/s#n' || p_size AS request_param, 'change-plan://shop/r1/' || p_partkey AS change_plan FROM part",
+)
+def _(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    page = F.concat(F.lit("C:\\w\\src\\main\\webapp\\p"), key, F.lit(".jsp"))
+    return p.select(
+        "p_partkey",
+        builders.file_symbol("jsp_input", "shop", "core", "C:\\w", page, F.lit("f"), F.concat(F.lit("i"), size)).alias("jsp_input"),
+        builders.method_symbol("param_slot", "shop", "core", "/w", F.lit("/w/src/main/java/a/B.java"), F.lit("a.B"), F.lit("m"), F.lit("(I)V"), size, F.lit("I")).alias("param_slot"),
+        builders.scope_symbol("request_param", "shop", F.lit("s"), F.concat(F.lit("n"), size)).alias("request_param"),
+        builders.artifact_symbol("change_plan", "shop", key, F.lit("r1")).alias("change_plan"),
+    )
+
+
+@query("entry_points", "SELECT p_partkey, 'entrypoint://shop/_root/_entrypoints/client-http/GET/' || lower(p_type) AS client_http, 'entrypoint://shop/_root/_entrypoints/scheduler/a.B/run' || p_size AS scheduler FROM part")
+def _(spark, sf_dir):
+    at = lambda kind, *parts: ids.entrypoint("shop", "_root", kind, F.concat_ws("/", *parts))
+    return table(spark, sf_dir, "part").select("p_partkey", at("client-http", F.lit("GET"), F.lower("p_type")).alias("client_http"), at("scheduler", F.lit("a.B"), F.concat(F.lit("run"), F.col("p_size").cast("string"))).alias("scheduler"))
+
+
+@query("benchmark_verdicts", "WITH m AS (SELECT event_type AS profile, arg_max(value, ts) AS v FROM events GROUP BY 1) SELECT profile, v <= 50 AS passed FROM m UNION ALL SELECT 'never', false")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    measured = e.select(F.col("event_type").alias("profile"), "ts", F.col("value").alias("p95_ms"), F.lit(1).alias("heap_bytes"))
+    profiles = e.select(F.col("event_type").alias("profile")).distinct().union(spark.createDataFrame([("never",)], "profile string"))
+    return impact.benchmark_verdicts(measured, profiles.select("profile", F.lit(50.0).alias("target_p95_ms"), F.lit(1).alias("target_heap")))

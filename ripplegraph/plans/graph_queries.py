@@ -582,3 +582,15 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return sinks.graph_ddl(spark)
+
+
+@query("path_priority", f"WITH RECURSIVE {VISIBLE}, {search_text(edges_text(registry.DOWNSTREAM_EDGES, True), ORDERS, 4, 120)} SELECT seed, CAST(rank AS INTEGER) AS rank, CAST(CASE WHEN starts_with(ids[-1], 'db-') THEN 20 WHEN starts_with(ids[-1], 'sql-statement://') THEN 10 ELSE 0 END + 20 - depth AS INTEGER) AS priority FROM p_r")
+def _(spark, sf_dir):
+    p = traverse.find_downstream(visible(spark, sf_dir), seeds(spark, ORDERS), 4, 120)
+    return p.select("seed", F.col("rank").cast("int").alias("rank"), impact.path_priority(F.col("depth"), F.lit("LIKELY"), F.element_at("ids", -1)).alias("priority"))
+
+
+@query("node_limit", f"WITH RECURSIVE {VISIBLE}, {search_text(edges_text(registry.CALL_EDGES, False), PARTS, 3, 60)}, n AS (SELECT seed, id, min(rank) AS rank FROM (SELECT seed, rank, unnest(ids) AS id FROM p_r) GROUP BY 1, 2), c AS (SELECT p.seed, p.rank, (SELECT count(*) FROM n WHERE n.seed = p.seed AND n.rank <= p.rank) AS nodes FROM p_r p) SELECT seed, CAST(rank AS INTEGER) AS rank FROM c WHERE nodes <= 12")
+def _(spark, sf_dir):
+    p = traverse.find_callers(visible(spark, sf_dir), seeds(spark, PARTS), 3, 60)
+    return impact.limited(p, 12).select("seed", F.col("rank").cast("int").alias("rank"))
