@@ -46,7 +46,7 @@ def jsd(p, q):
 
 def test_distances_match_brute_force(spark):
     r = rng(2)
-    rows = [(k, " ".join(words(r, 80 + k)), "en" if k % 3 else None, "s") for k in range(12)] + [(12, "%%% ### " * 100, "en", "s")]
+    rows = [(k, " ".join(words(r, 120 + k)), "en" if k % 3 else None, "s") for k in range(12)] + [(12, "%%% ### " * 100, "en", "s")]
     got = {x.doc_id: x for x in quality.quality_report(documents(spark, rows)).collect()}
 
     def char_hist(text):
