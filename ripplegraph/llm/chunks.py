@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.util import cut, table
+from ripplegraph.llm.util import cut, small_batches, table
 
 RADIUS, MIN_CHARS, LONGEST, SEED = 20, 120, 4096, 6
 _GEAR = np.random.default_rng(SEED).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -87,7 +87,7 @@ def _chunks(batches):
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, start, end (bytes of the text in UTF-8), n_chunks, first_doc_id (that has the span's first chunk first)."""
-    few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    few = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = few.schema["doc_id"].dataType.simpleString()
     made = cut(few.mapInArrow(_chunks, f"doc_id {kind}, start int, size int, digest bigint"), "chunks")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("start").alias("s"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ripplegraph.llm.util import table
+from ripplegraph.llm.util import small_batches, table
 
 WINDOW, COVERAGE = 13, 20
 BLOCK_BYTES = 16 << 20
@@ -168,37 +168,43 @@ def blocks_of(items: DataFrame, item_id: str, text: str, block_bytes: int):
 HITS = "struct<n:bigint,starts:array<int>,ends:array<int>,items:array<string>>"
 
 
-def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with a column `__hits`: the number of words, the merged word ranges hit and the ids of the items with occurring windows."""
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"__hits {HITS}").fields])
-    at = docs.columns.index(text)
+_HITS_ARROW = pa.struct([("n", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
-    def hits_of(block):
-        kind = pa.struct([("n", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
+def with_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, finish=None, schema: StructType | None = None) -> DataFrame:
+    """docs with a column `__hits`: the number of words, the merged word ranges hit and the ids of the items with occurring windows.
+
+    finish: what the last pass makes of a batch and its hits, with `schema`, in the same Python worker.
+    """
+    names, at = docs.columns, docs.columns.index(text)
+    mine = StructType([*docs.schema.fields, *StructType.fromDDL(f"__hits {HITS}").fields])
+
+    def hits_of(block, last: bool):
         def run(batches):
             auto = _automaton(block, window) if block else None
             for b in batches:
-                before = b.column(at)
-                held = b.column(b.num_columns - 1).to_pylist() if b.num_columns > len(docs_names) else [None] * b.num_rows
+                held = b.column(len(names)).to_pylist() if b.num_columns > len(names) else [None] * b.num_rows
                 out = []
-                for t, h in zip(before.to_pylist(), held, strict=True):
+                for t, h in zip(b.column(at).to_pylist(), held, strict=True):
                     words = words_of(t)
                     spans, found = auto.matches(words) if auto else ([], set())
                     if h:
                         spans = merged(spans + list(zip(h["starts"], h["ends"], strict=True)))
                         found |= set(h["items"])
                     out.append({"n": len(words), "starts": [a for a, _ in spans], "ends": [z for _, z in spans], "items": sorted(x for x in found if x is not None)})
-                columns = b.columns[: len(docs_names)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], [*docs_names, "__hits"])
+                if last and finish:
+                    yield finish(b, out)
+                else:
+                    yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(out, _HITS_ARROW)], [*names, "__hits"])
 
         return run
 
-    docs_names = docs.columns
-    df = docs
-    for block in blocks_of(items, item_id, item_text, block_bytes):
-        df = df.mapInArrow(hits_of(block), schema)
-    return df if df is not docs else docs.mapInArrow(hits_of(None), schema)
+    df = small_batches(docs)
+    blocks = list(blocks_of(items, item_id, item_text, block_bytes)) or [None]
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        df = df.mapInArrow(hits_of(block, last), schema if last and finish else mine)
+    return df
 
 
 def n_hit(h: dict) -> int:
@@ -216,22 +222,20 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def remove_contamination(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, coverage: int = COVERAGE, **how) -> DataFrame:
     """docs without contaminated rows (hit words are 1/coverage of all or more); in the others hit spans are cut out of the text."""
-    found = with_hits(docs, items, text, window=window, **how)
     names, at = docs.columns, docs.columns.index(text)
 
-    def clean(batches):
-        for b in batches:
-            rows, texts = [], []
-            for k, (t, h) in enumerate(zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True)):
-                n = n_hit(h)
-                if n and n * coverage >= h["n"]:
-                    continue
-                rows.append(k)
-                texts.append(without_words(t, list(zip(h["starts"], h["ends"], strict=True))) if n else t)
-            out = b.take(pa.array(rows, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else out.column(k) for k in range(len(names))], names)
-
-    return found.mapInArrow(clean, docs.schema)
+    def clean(b, hits):
+        rows, texts = [], []
+        for k, (t, h) in enumerate(zip(b.column(at).to_pylist(), hits, strict=True)):
+            n = n_hit(h)
+            if n and n * coverage >= h["n"]:
+                continue
+            rows.append(k)
+            texts.append(without_words(t, list(zip(h["starts"], h["ends"], strict=True))) if n else t)
+        out = b.take(pa.array(rows, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(at).type) if k == at else out.column(k) for k in range(len(names))], names)
+
+    return with_hits(docs, items, text, window=window, finish=clean, schema=docs.schema, **how)
 
 
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:

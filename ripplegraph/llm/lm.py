@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.util import by_group, fresh_path, table
+from ripplegraph.llm.util import by_group, fresh_path, small_batches, table
 
 VOCABULARY, DISCOUNTED, GROUP_TOKENS, FOLDS, HELD_OUT = (1 << 16) - 2, 5, 3_000_000, 7, 2
 END, OTHER, FIRST = 0, 1, 2
@@ -296,7 +296,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = _parts(docs)
     ident = F.col(doc_id).cast("long")
     held_out = F.crc32(F.coalesce(ident.cast("string"), F.lit(""))) % FOLDS == HELD_OUT
-    few = docs.select(ident.alias("doc_id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
+    few = small_batches(docs).select(ident.alias("doc_id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
     of = lambda t, kind: t.where(F.col("kind") == kind)
 
     one = _store(few.mapInArrow(_groups(parts, group_tokens), FIELDS), "lm-groups")

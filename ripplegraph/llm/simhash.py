@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.util import components, cut, table
+from ripplegraph.llm.util import components, cut, small_batches, table
 
 SHINGLE, SEED, BITS = 3, 42, 2
 GROUPS, DENSE = 4, 16
@@ -59,7 +59,7 @@ def _fingerprints(batches):
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp: one row per row of docs, fp as a signed long."""
-    few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    few = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return few.mapInArrow(_fingerprints, f"doc_id {few.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 

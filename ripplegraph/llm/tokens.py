@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplegraph.llm.util import cut, fresh_path, table
+from ripplegraph.llm.util import cut, fresh_path, small_batches, table
 
 TOKENIZER, LIMIT, BATCH = "piece_bpe_32k.model", 4096, 64
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens bigint"
@@ -83,7 +83,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, doc_id:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs. cache_path: a Parquet table that is read and appended to."""
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    d = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("digest", F.sha2("text", 256))
     own = spark.read.schema(CACHE_SCHEMA).parquet(cache_path) if _exists(spark, cache_path) else spark.createDataFrame([], CACHE_SCHEMA)
     known = own.where(F.col("tokenizer") == version).select("digest")

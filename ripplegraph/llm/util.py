@@ -14,6 +14,21 @@ from pyspark.sql.types import StructType
 _own_dirs: dict[str, str] = {}
 
 
+#: Rows of texts that go to Python at once. Spark's own 10,000 would hold over a gigabyte of long texts.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session's limits on batches to Python are brought down to these, where they are higher."""
+    conf = df.sparkSession.conf
+    for key, wanted in _LIMITS.items():
+        now = conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= wanted:
+            conf.set(key, str(wanted))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
