@@ -131,7 +131,14 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(govern.argument_rejection(F.lit("text"), F.col("text")), F.lit("")).alias("reason"))
 
 
-@query("rate_limiter")
+_KEPT = "list_filter(r.log, lambda x: x > epoch_us(e.ts) - 21600000000)"
+
+
+@query(
+    "rate_limiter",
+    "WITH RECURSIVE e AS (SELECT CAST(user_id AS VARCHAR) AS principal, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), r AS (SELECT principal, ts, event_id, rn, true AS accepted, [epoch_us(ts)] AS log FROM e WHERE rn = 1"
+    f" UNION ALL SELECT e.principal, e.ts, e.event_id, e.rn, len({_KEPT}) < 20, CASE WHEN len({_KEPT}) < 20 THEN list_append({_KEPT}, epoch_us(e.ts)) ELSE {_KEPT} END FROM r JOIN e ON e.principal = r.principal AND e.rn = r.rn + 1) SELECT principal, ts, event_id, accepted FROM r",
+)
 def _(spark, sf_dir):
     """Each user may make 20 requests in 6 hours."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("principal"), "ts", "event_id")

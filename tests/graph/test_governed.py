@@ -161,3 +161,44 @@ def test_sinks(spark, tmp_path):
     sinks.write_json(f, f"file://{tmp_path}/json")
     assert sinks.node_statements(spark).where("label = 'Method'").first().merge == "MERGE (n:GraphNode:Method {symbolId: $symbolId, snapshotId: $snapshotId}) SET n.projectId = $projectId, n.kind = $kind"
     assert sinks.duplicate_nodes(spark.createDataFrame([("a", "s"), ("a", "s")], "id string, snapshot_id string")).count() == 1
+
+
+def brute_hybrid(exact, near, more, k):
+    merged = {}
+
+    def add(rows):
+        for i, score in rows:
+            if i not in merged or merged[i] < score:
+                merged[i] = score
+
+    add(exact)
+    add(near)
+    for seed in list(merged):
+        if len(merged) >= 2 * k:
+            break
+        add(more.get(seed, []))
+    return [i for i, _ in sorted(merged.items(), key=lambda x: -x[1])][:k]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_hybrid_search_matches_brute_force(spark, seed):
+    import random
+
+    from ripplegraph.functions.text import token_embedding
+
+    r = random.Random(seed)
+    vocabulary = ["graph", "search", "engine", "cat", "dog", "tree"]
+    rows = [(f"d{k}", f"t{k}", " ".join(r.choice(vocabulary) for _ in range(6)), k) for k in range(14)]
+    d = spark.createDataFrame(rows, "id string, title string, body string, ord long").withColumns({"project_id": F.lit("p"), "snapshot_id": F.lit("s"), "embedding": token_embedding(F.col("body"), 64)})
+    links = {f"{p}{k}": [(f"{r.choice('dn')}{r.randrange(20)}", round(r.random(), 3)) for _ in range(r.randrange(3))] for p in "dn" for k in range(20)}
+    flat = spark.createDataFrame([(s, n, i, x) for s, v in links.items() for n, (i, x) in enumerate(v)], "from string, ord int, id string, score double")
+
+    def expand(seeds):
+        return seeds.select(F.col("id").alias("from"), F.col("place").alias("seed_place")).join(flat, "from").select("seed_place", "ord", "id", F.col("id").alias("title"), "score")
+
+    for k in (3, 5):
+        exact = [(x.id, 1.0) for x in retrieve.exact_search(d, "graph", "p", "s").orderBy("ord").collect()]
+        near = [(x.id, x.score) for x in retrieve.vector_search(d, token_embedding(F.lit("graph"), 64), "p", "s", k).collect()]
+        got = [x.id for x in retrieve.hybrid_search(d, "graph", "p", "s", k, expand=expand).collect()]
+        assert got == brute_hybrid(exact, near, links, k)
+        assert [x.id for x in retrieve.hybrid_search(d, "graph", "p", "s", k).collect()] == brute_hybrid(exact, near, {}, k)
