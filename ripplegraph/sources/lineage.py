@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -23,11 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back. Spark then knows its size, so joins with small ones broadcast them."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; Hadoop removes it when the session ends."""
     path = f"{shared_dir(spark)}/ripplegraph/{name}-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later stages neither recompute it nor lose it with an executor, and
+    Spark knows its size, so joins with small ones broadcast them."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
