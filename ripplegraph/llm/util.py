@@ -1,17 +1,16 @@
-"""Shared pieces of the training-data operators: table access, lineage cuts and components."""
+"""Shared pieces of the training-data operators: table access, batches and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-_own_dirs: dict[str, str] = {}
+from ripplegraph.sources.lineage import cut, fresh_path
+
+__all__ = ["by_group", "components", "cut", "fresh_path", "small_batches", "table"]
 
 
 #: Rows of texts that go to Python at once. Spark's own 10,000 would hold over a gigabyte of long texts.
@@ -33,35 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only on a single machine where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="ripplegraph-")
-    return _own_dirs[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder; Hadoop removes it when the session ends."""
-    path = f"{shared_dir(spark)}/ripplegraph/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later stages neither recompute it nor lose it with an executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
