@@ -88,3 +88,21 @@ def test_stages_match_brute_force(spark, sf):
     for k, t in got.items():
         assert test_pii.brute(d[k]) == [] and (d[k] == t) == (test_pii.brute(t) == [])
         assert d[k] == pii.clean(t, pii.base_spans(t))
+
+
+def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tests.llm.helpers import documents, rng, words
+
+    r = rng(20)
+    rows = [(k, " ".join(words(r, 150)), "en", "a") for k in range(4)]
+    rows += [(7, None, None, None), (None, " ".join(words(r, 120)), None, "b"), (3, rows[3][1], "en", "a"), (8, "", "xx", "b"), (None, None, None, None), (9, " ".join(words(r, 30_000)), "fr", None)]
+    docs = documents(spark, rows).withColumns({x: F.lit(1) for x in ("n_tokens", "fp", "spans", "items", "block", "host", "digest", "component_id", "n_words", "kept")})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert last or got.columns == docs.columns, name
+        n = got.count()
+        assert last or {"quality_rules": n < 10, "near_dedup": n < 10, "decontaminate": n == 10, "remove_pii": n == 10}[name], (name, n)
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
