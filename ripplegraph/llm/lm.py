@@ -1,17 +1,20 @@
 """Katz backoff scoring, with bigram counts of the training documents.
 
-Classes are the `vocabulary` commonest training words, the end of a text (also the context of its first word), and one
-class for all other words; within that class a word has (c + 1) / (tokens + types + 1), c its training count, where all
-unseen words share the last place. P(v) = (c(v) + 1) / (N + classes). A bigram that was seen has the Good-Turing
-discounted share d(c) c(u,v) / c(u), counts over 5 undiscounted; one that wasn't has alpha(u) P(v), and alpha(u) is what
-the seen ones leave over what P leaves of them, so each context sums to one exactly. A context whose seen bigrams would
-leave less than 1 / (c(u) + 1) is scaled to leave that.
+Each training word is a class of its own, however many there are; others are the end of a text (also the context of its
+first word), and one class for all other words; within that class a word has (c + 1) / (tokens + types + 1), c its
+training count, where all unseen words share the last place. With `vocabulary` only that many of the commonest words are
+classes. P(v) = (c(v) + 1) / (N + classes). A bigram that was seen has the Good-Turing discounted share
+d(c) c(u,v) / c(u), counts over 5 undiscounted; one that wasn't has alpha(u) P(v), and alpha(u) is what the seen ones leave
+over what P leaves of them, so each context sums to one exactly. A context whose seen bigrams would leave less than
+1 / (c(u) + 1) is scaled to leave that.
 
 Nothing is looked up row by row and no count is kept in one place. Documents are cut into groups of bounded size; a
 group sends its distinct words (then its distinct bigrams) with their counts, dealt by hash, to where they are summed,
-and gets the sums back in the order it sent them. Frequent words cost one entry a group, so no key is hot. Groups and
-sums are tables in the shared folder, `kind` by `kind`; a lost executor repeats tasks from them. Only the vocabulary,
-the contexts' sums over it (both bounded by its size) and a few totals reach the driver and are broadcast.
+and gets the sums back in the order it sent them. Each word has a number from where its counts meet, and a bigram is the
+exact pair of numbers. Of the groups that sent a bigram the first one owns it: it adds the bigram to its context's sums,
+which meet by word and go back to the groups as weights. Frequent words cost one entry a group, so no key is hot. Groups
+and sums are tables in the shared folder, `kind` by `kind`; a lost executor repeats tasks from them. Only a few totals, one
+number a part and (if given) the vocabulary reach the driver; totals and numbers are broadcast.
 
 Defined cases: null text has only its end; a null doc_id counts as the text ''; repeated rows count and are scored row
 by row; with an empty training set c = N = V = 0; an empty table gives an empty result.
@@ -31,9 +34,8 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm.util import by_group, fresh_path, small_batches, table
 
-VOCABULARY, DISCOUNTED, GROUP_TOKENS, FOLDS, HELD_OUT = (1 << 16) - 2, 5, 3_000_000, 7, 2
-END, OTHER, FIRST = 0, 1, 2
-RANGE = 4096  # contexts whose sums are kept together
+DISCOUNTED, GROUP_TOKENS, FOLDS, HELD_OUT = 5, 3_000_000, 7, 2
+OTHER = 0  # the number of the class of other words; words have those after it
 PART_BYTES, FAN = 64 << 20, 32
 FIELDS = "g string, p int, payload binary, kind string"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -47,14 +49,20 @@ def unpack(b: bytes):
     return marshal.loads(zlib.decompress(b))
 
 
+_KINDS = {"B": np.uint8, "H": np.uint16, "I": np.uint32, "Q": np.uint64}
+
+
 def ints(a: np.ndarray) -> bytes:
-    """Small counts take a byte each; the type's sign comes first."""
-    kind = "B" if not len(a) or a.max() < 1 << 8 else "I" if a.max() < 1 << 32 else "Q"
-    return kind.encode() + np.ascontiguousarray(a).astype({"B": np.uint8, "I": np.uint32, "Q": np.uint64}[kind]).tobytes()
+    """Small counts take a byte each; the type's sign comes first. Bytes of a place stand together, so that they pack well."""
+    most = int(a.max()) if len(a) else 0
+    kind = "B" if most < 1 << 8 else "H" if most < 1 << 16 else "I" if most < 1 << 32 else "Q"
+    flat = np.ascontiguousarray(a, _KINDS[kind])
+    return kind.encode() + flat.view(np.uint8).reshape(-1, flat.itemsize).T.tobytes()
 
 
 def from_ints(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, {b"B": np.uint8, b"I": np.uint32, b"Q": np.uint64}[b[:1]], offset=1).astype(np.int64)
+    kind = _KINDS[chr(b[0])]
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, offset=1).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel().astype(np.int64)
 
 
 def _batch(rows: list[tuple]):
@@ -68,7 +76,7 @@ class _Local(dict):
         return n
 
 
-def _groups(parts: int, group_tokens: int):
+def _groups(parts: int, group_tokens: int, keep_words: bool):
     """Pass 1: cut a partition's documents into groups; words become numbers of their group, dealt by hash."""
 
     def flush(name: str, local: _Local, ids: list, docs: list) -> list[tuple]:
@@ -81,7 +89,7 @@ def _groups(parts: int, group_tokens: int):
         trained = np.repeat(np.array([not d[1] for d in docs]), [d[2] for d in docs])
         counts = np.bincount(stream[trained], minlength=len(words))
         ordered = [words[k] for k in order]
-        out = [(name, -1, pack((docs, ints(stream), b"\n".join(ordered))), "docs")]
+        out = [(name, -1, pack((docs, ints(stream), b"\n".join(ordered) if keep_words else b"")), "docs")]
         edges = np.searchsorted(at[order], np.arange(parts + 1))
         for p in range(parts):
             a, b = int(edges[p]), int(edges[p + 1])
@@ -108,118 +116,140 @@ def _groups(parts: int, group_tokens: int):
     return run
 
 
-def _sum_words(vocabulary: int):
-    """Pass 2, by p: the counts of all groups' words; answers in each group's order; totals and the commonest words."""
+def _sum_words(vocabulary: int | None):
+    """Pass 2, by p: words get numbers; these and the counts of all groups in each group's order; totals and the commonest words."""
 
     def run(key, batches):
-        sent, total = [], {}
+        sent, index = [], _Local()
         for b in batches:
             for g, payload in zip(b.column("g").to_pylist(), b.column("payload").to_pylist(), strict=True):
                 words, counts = unpack(payload)
                 words = words.split(b"\n")
-                for w, c in zip(words, from_ints(counts).tolist(), strict=True):
-                    total[w] = total.get(w, 0) + c
-                sent.append((g, zlib.compress(b"\n".join(words), 1)))
+                sent.append((g, np.fromiter(map(index.__getitem__, words), np.uint32, len(words)), from_ints(counts).astype(np.uint32)))
         p = key[0].as_py()
-        for g, words in sent:
-            own = zlib.decompress(words).split(b"\n")
-            yield _batch([(g, p, pack(ints(np.fromiter(map(total.__getitem__, own), np.int64, len(own)))), "counts")])
-        known = [(c, w) for w, c in total.items() if c]
-        top = sorted(((c, w) for c, w in known if w), key=lambda x: (-x[0], x[1]))[:vocabulary]
-        yield _batch([("", p, pack((sum(c for c, _ in known), len(known), total.get(b"", 0), [(w, c) for c, w in top])), "unigrams")])
+        total = np.zeros(len(index), np.int64)
+        for _, own, counts in sent:
+            total[own] += counts
+        for g, own, _ in sent:
+            yield _batch([(g, p, pack((ints(own), ints(total[own]))), "counts")])
+        end = index.get(b"")
+        top = []
+        if vocabulary is not None:
+            top = sorted(((w, c) for w, c in zip(index, total.tolist(), strict=True) if c and w), key=lambda x: (-x[1], x[0]))[:vocabulary]
+        ends = 0 if end is None else int(total[end])
+        yield _batch([("", p, pack((int(total.sum()), int((total > 0).sum()), ends, {p: len(index)}, None if end is None else (p, end), top)), "unigrams")])
 
     return run
 
 
+class _Group:
+    """A group with the sums of its words. Words are numbered as in its stream; the class of other words is the number after."""
+
+    def __init__(self, docs_row: bytes, answers: dict[int, bytes], held):
+        self.docs, stream, words = unpack(docs_row)
+        self.stream = from_ints(stream).astype(np.int32)
+        offsets, end, last, self.n, self.v, other_n, self.other_v, n_classes = held
+        own = {p: [from_ints(x) for x in unpack(answers[p])] for p in sorted(answers)}
+        self.count = np.concatenate([c for _, c in own.values()])
+        ids = np.concatenate([k + offsets[p] for p, (k, _) in own.items()])
+        self.other_n = other_n
+        mine = self.count > 0
+        if last is not None:
+            tied = np.fromiter((w <= last[1] for w in words.split(b"\n")), bool, len(ids))
+            mine &= (self.count > last[0]) | (self.count == last[0]) & tied
+        self.mine = mine | (ids == end)
+        # Contexts in the order of their parts, other words last, in a part of their own.
+        self.parts = {p: (k, self.mine[a : a + len(k)]) for (p, (k, _)), a in zip(own.items(), np.cumsum([0, *[len(k) for k, _ in own.values()]])[:-1].tolist(), strict=True)}
+        other = len(ids)
+        self.class_of = np.where(self.mine, np.arange(other), other).astype(np.int32)
+        self.ids = np.append(ids, OTHER).astype(np.uint64)
+        self.class_count = np.append(np.where(self.mine, self.count, 0), other_n)
+        self.p1 = (self.class_count + 1) / (self.n + n_classes)
+        self.starts = np.concatenate(([0], np.cumsum([d[2] for d in self.docs])[:-1])).astype(np.int64)
+        self.end = int(np.flatnonzero(ids == end)[0])
+
+    def sums(self, by_token: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(by_token, self.starts)
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Context and word of the distinct bigrams, and where each token's is; a text's end is the next one's context."""
+        classes = self.class_of[self.stream]
+        pairs = np.concatenate((np.array([self.end], np.int32), classes[:-1])).astype(np.uint64) << np.uint64(32) | classes.astype(np.uint64)
+        pairs, back = np.unique(pairs, return_inverse=True)
+        return (pairs >> np.uint64(32)).astype(np.int32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int32), back
+
+    def dealt(self, u: np.ndarray, w: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bigrams as pairs of words' numbers, their order by part and pair, and where the parts start in it."""
+        pairs = self.ids[u] << np.uint64(32) | self.ids[w]
+        at = dealt(pairs, parts)
+        order = np.argsort(pairs)
+        order = order[np.argsort(at[order], kind="stable")]
+        return pairs, order, np.searchsorted(at[order], np.arange(parts + 1))
+
+
+def _split(batches) -> dict[str, dict[int, bytes]]:
+    """kind -> p -> payload."""
+    out: dict[str, dict[int, bytes]] = {}
+    for b in batches:
+        for p, x, kind in zip(b.column("p").to_pylist(), b.column("payload").to_pylist(), b.column("kind").to_pylist(), strict=True):
+            out.setdefault(kind, {})[p] = x
+    return out
+
+
 def _bigrams(held, parts: int):
-    """Pass 3, by group: base scores, and the group's distinct bigrams of classes, dealt by hash."""
+    """Pass 3, by group: the group's distinct bigrams, dealt by hash."""
 
     def run(key, left, right):
         docs_row = [x for b in left for x in b.column("payload").to_pylist()]
         if not docs_row:
             return
-        docs, stream, words = unpack(docs_row[0])
-        answers = sorted((p, x) for b in right for p, x in zip(b.column("p").to_pylist(), b.column("payload").to_pylist(), strict=True))
-        count = np.concatenate([from_ints(unpack(x)) for _, x in answers])
-        vocabulary, n, v, other_n, other_v = held.value
-        words = words.split(b"\n")
-        of = np.fromiter((vocabulary.get(w, OTHER) for w in words), np.uint16, len(words))
-        stream = from_ints(stream)
-        starts = np.concatenate(([0], np.cumsum([d[2] for d in docs])[:-1])).astype(np.int64)
-        sums = lambda x: np.add.reduceat(x[stream], starts)
-        base = sums(np.log10((count + 1) / (n + v + 1)))
-        known = sums((count > 0).astype(np.int64))
-        inner = sums(np.where(of == OTHER, np.log10((count + 1) / (other_n + other_v + 1)), 0.0))
-        classes = of[stream]
-        rows = [(d[0], d[1], d[2], int(k), float(s), float(i)) for d, k, s, i in zip(docs, known, base, inner, strict=True)]
+        group = _Group(docs_row[0], _split(right)["counts"], held.value)
         g = key[0].as_py()
-        yield _batch([(g, -1, pack((rows, classes.tobytes())), "docs")])
-        trained = np.repeat(np.array([not d[1] for d in docs]), [d[2] for d in docs])
-        pairs, back = distinct_pairs(classes)
-        counts = np.bincount(back[trained], minlength=len(pairs))
-        at = dealt(pairs, parts)
-        order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(parts + 1))
-        out = []
+        trained = np.repeat(np.array([not d[1] for d in group.docs]), [d[2] for d in group.docs])
+        u, w, back = group.bigrams()
+        counts = np.bincount(back[trained], minlength=len(u))
+        pairs, order, edges = group.dealt(u, w, parts)
         for p in range(parts):
             own = order[edges[p] : edges[p + 1]]
             if len(own):
-                out.append((g, p, pack((ints(np.diff(pairs[own].astype(np.int64), prepend=0)), ints(counts[own]))), "bigrams"))
-        yield _batch(out)
+                x = pairs[own]
+                yield _batch([(g, p, pack((ints(np.diff(x >> np.uint64(32), prepend=np.uint64(0))), ints(x & np.uint64(0xFFFFFFFF)), ints(counts[own]))), "bigrams")])
 
     return run
 
 
-def distinct_pairs(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted context << 16 | word of a stream, in which each text's end is the next one's context; and where each token's is."""
-    before = np.concatenate((np.zeros(1, np.uint16), classes[:-1]))
-    return np.unique(before.astype(np.uint32) << np.uint32(16) | classes, return_inverse=True)
-
-
 def dealt(pairs: np.ndarray, parts: int) -> np.ndarray:
-    return ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
-
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
-def _sum_bigrams(p1_of):
-    """Pass 4, by p: the counts of all groups' bigrams; answers; counts of counts; sums by context."""
 
-    def run(key, batches):
-        sent = []
-        for b in batches:
-            for g, payload in zip(b.column("g").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                gaps, counts = unpack(payload)
-                sent.append((g, np.cumsum(from_ints(gaps)).astype(np.uint32), from_ints(counts).astype(np.uint32)))
-        p = key[0].as_py()
-        pairs, back = np.unique(np.concatenate([x[1] for x in sent]), return_inverse=True)
-        total = np.bincount(back, weights=np.concatenate([x[2] for x in sent]), minlength=len(pairs)).astype(np.int64)
-        at = 0
-        for g, own, _ in sent:
-            yield _batch([(g, p, pack(ints(total[back[at : at + len(own)]])), "counts")])
-            at += len(own)
-        seen = total > 0
-        pairs, total = pairs[seen], total[seen]
-        yield _batch([("", p, pack((ints(np.diff(pairs.astype(np.int64), prepend=0)), ints(total))), "model")])
-        contexts, words = (pairs >> 16).astype(np.int64), (pairs & 0xFFFF).astype(np.int64)
-        p1 = p1_of.value
-        out = []
-        for r in np.unique(contexts // RANGE).tolist():
-            m = contexts // RANGE == r
-            u, c, w = contexts[m] % RANGE, total[m], words[m]
-            add = lambda weights: np.bincount(u, weights=weights, minlength=RANGE)  # noqa: B023, E731
-            sums = [add((c == k).astype(float)) for k in range(1, DISCOUNTED + 2)] + [add(c.astype(float)), add(p1[w])]
-            out.append((str(r), p, pack(np.stack(sums).tobytes()), "contexts"))
-        yield _batch(out)
-
-    return run
-
-
-def _sum_contexts(key, batches):
-    total = None
+def _sum_bigrams(key, batches):
+    """Pass 4, by p: twice the counts of all groups' bigrams, and one more for the group that owns it; counts of counts."""
+    names, pairs, counts = [], [], []
     for b in batches:
-        for payload in b.column("payload").to_pylist():
-            x = np.frombuffer(unpack(payload)).reshape(-1, RANGE)
-            total = x.copy() if total is None else total + x
-    yield _batch([(key[0].as_py(), key[1].as_py(), pack(total.tobytes()), "contexts")])
+        for g, payload in zip(b.column("g").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            gaps, words, n = unpack(payload)
+            names.append(g)
+            pairs.append(np.cumsum(from_ints(gaps)).astype(np.uint64) << np.uint64(32) | from_ints(words).astype(np.uint64))
+            counts.append(from_ints(n).astype(np.uint32))
+    p = key[0].as_py()
+    sizes = [len(x) for x in counts]
+    distinct, back = np.unique(np.concatenate(pairs), return_inverse=True)
+    del pairs
+    total = np.bincount(back, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+    owned = np.zeros(len(back), np.int64)
+    first = np.full(len(distinct), len(back), np.int64)
+    np.minimum.at(first, back, np.arange(len(back)))
+    owned[first] = 1
+    at = 0
+    for g, n in zip(names, sizes, strict=True):
+        yield _batch([(g, p, pack(ints(2 * total[back[at : at + n]] + owned[at : at + n])), "totals")])
+        at += n
+    yield _batch([("", p, pack([int((total == k).sum()) for k in range(1, DISCOUNTED + 2)]), "seen")])
+
+
+def _merge_seen(key, batches):
+    found = [unpack(x) for b in batches for x in b.column("payload").to_pylist()]
+    yield _batch([(key[0].as_py(), key[1].as_py(), pack([sum(x) for x in zip(*found, strict=True)]), "seen")])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -236,43 +266,94 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def backoff(sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """c(u), the scale of seen bigrams' shares and alpha(u), from the sums by context."""
-    c, p1 = sums[DISCOUNTED + 1], sums[DISCOUNTED + 2]
-    few = sums[:DISCOUNTED]
+def backoff(few: np.ndarray, c: np.ndarray, p1: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The scale of seen bigrams' shares and alpha(u), from the sums by context: bigrams seen 1..5 times, c(u), P of the seen."""
     r = np.arange(1, DISCOUNTED + 1)[:, None]
     mass = np.where(c > 0, (c - ((1 - d)[:, None] * r * few).sum(axis=0)) / np.maximum(c, 1), 0.0)
     rest = 1 - p1
     most = np.where(rest > 1e-9, 1 - 1 / (c + 1), 1.0)
     scale = np.where((mass > most) | (rest <= 1e-9), most / np.maximum(mass, 1e-300), 1.0)
     alpha = np.where(c > 0, np.where(rest > 1e-9, (1 - mass * scale) / np.maximum(rest, 1e-9), 0.0), 1.0)
-    return c, scale, alpha
+    return scale, alpha
 
 
-def log_probabilities(pairs: np.ndarray, counts: np.ndarray, model) -> np.ndarray:
-    """log10 P(word | context): what was seen has its discounted share, what wasn't falls back on the word alone."""
-    p1, d, c, scale, alpha = model
-    u, w = (pairs >> 16).astype(np.int64), (pairs & 0xFFFF).astype(np.int64)
-    factor = np.concatenate(([0.0], d, [1.0]))[np.minimum(counts, DISCOUNTED + 1)]
-    share = factor * counts / np.maximum(c[u], 1) * scale[u]
-    return np.log10(np.where(counts > 0, share, alpha[u] * p1[w]))
+def _contexts(held, discount: np.ndarray, parts: int):
+    """Pass 5, by group: sums of the bigrams it owns, by context; scores but for the contexts' weights, and which of these each token takes."""
+
+    def run(key, left, right):
+        docs_row = [x for b in left for x in b.column("payload").to_pylist()]
+        if not docs_row:
+            return
+        answers = _split(right)
+        group = _Group(docs_row[0], answers["counts"], held.value)
+        g = key[0].as_py()
+        u, w, back = group.bigrams()
+        _, order, _ = group.dealt(u, w, parts)
+        total = np.empty(len(u), np.int64)
+        total[order] = np.concatenate([from_ints(unpack(answers["totals"][p])) for p in sorted(answers["totals"])])
+        owned = (total % 2 == 1) & (total > 1)
+        total //= 2
+        size = len(group.ids)
+        sums = [np.bincount(u[owned & (total == r)], minlength=size) for r in range(1, DISCOUNTED + 1)]
+        sums.append(np.bincount(u[owned], weights=group.class_count[w[owned]] + 1.0, minlength=size).astype(np.int64))
+        at = 0
+        for p, (own, mine) in group.parts.items():
+            x = np.flatnonzero(mine) + at
+            at += len(own)
+            if len(x):
+                yield _batch([(g, p, pack((ints(own[mine]), ints(group.class_count[x]), *[ints(v[x]) for v in sums])), "contexts")])
+        x = np.array([size - 1])
+        yield _batch([(g, parts, pack((ints(x * 0), ints(group.class_count[x]), *[ints(v[x]) for v in sums])), "contexts")])
+
+        factor = np.concatenate(([0.0], discount, [1.0]))[np.minimum(total, DISCOUNTED + 1)]
+        seen = total > 0
+        logs = np.log10(np.where(seen, factor * total / np.maximum(group.class_count[u], 1), group.p1[w]))
+        at_context = np.cumsum(np.append(group.mine, True)) - 1
+        weights = at_context[u] * 2 + seen
+        count, n, v = group.count, group.n, group.v
+        within = np.where(group.mine, 0.0, np.log10((count + 1) / (group.other_n + group.other_v + 1)))
+        part = group.sums(logs[back]) + group.sums(within[group.stream])
+        base = group.sums(np.log10((count + 1) / (n + v + 1))[group.stream])
+        known = group.sums((count > 0).astype(np.int64)[group.stream])
+        rows = [(d[0], d[1], d[2], int(k), float(s), float(x)) for d, k, s, x in zip(group.docs, known, base, part, strict=True)]
+        yield _batch([(g, -1, pack((rows, ints(weights[back]))), "docs")])
+
+    return run
+
+
+def _weights(n: int, n_classes: int, d: np.ndarray):
+    """Pass 6, by p: the contexts' sums become weights, sent back in each group's order."""
+
+    def run(key, batches):
+        sent = []
+        for b in batches:
+            for g, payload in zip(b.column("g").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                sent.append((g, [from_ints(x) for x in unpack(payload)]))
+        sums = np.zeros((DISCOUNTED + 1, 1 + max(int(x[0].max()) for _, x in sent)), np.int64)
+        c = np.zeros(sums.shape[1], np.int64)
+        for _, (own, count, *more) in sent:
+            c[own] = count
+            for k, x in enumerate(more):
+                sums[k, own] += x
+        scale, alpha = backoff(sums[:DISCOUNTED], c, sums[DISCOUNTED] / (n + n_classes), d)
+        for g, x in sent:
+            yield _batch([(g, key[0].as_py(), pack((scale[x[0]].tobytes(), alpha[x[0]].tobytes())), "weights")])
+
+    return run
 
 
-def _score(held, train_tokens: int):
-    """Pass 5, by group."""
+def _score(train_tokens: int):
+    """Pass 7, by group."""
 
     def run(key, left, right):
         docs_row = [x for b in left for x in b.column("payload").to_pylist()]
         if not docs_row:
             return
-        rows, classes = unpack(docs_row[0])
-        classes = np.frombuffer(classes, np.uint16)
-        pairs, back = distinct_pairs(classes)
-        answers = {p: x for b in right for p, x in zip(b.column("p").to_pylist(), b.column("payload").to_pylist(), strict=True)}
-        order = np.argsort(dealt(pairs, held.value[1]), kind="stable")
-        counts = np.empty(len(pairs), np.int64)
-        counts[order] = np.concatenate([from_ints(unpack(answers[p])) for p in sorted(answers)])
-        logs = log_probabilities(pairs, counts, held.value[0])[back]
+        rows, at = unpack(docs_row[0])
+        answers = _split(right)["weights"]
+        found = [unpack(answers[p]) for p in sorted(answers)]
+        scale, alpha = (np.frombuffer(b"".join(x[k] for x in found)) for k in (0, 1))
+        logs = np.log10(np.stack([alpha, scale], axis=1)).ravel()[from_ints(at)]
         starts = np.concatenate(([0], np.cumsum([r[2] for r in rows])[:-1])).astype(np.int64)
         score = np.add.reduceat(logs, starts) + np.array([r[5] for r in rows])
         col = lambda k, kind: pa.array([r[k] for r in rows], kind)
@@ -290,8 +371,8 @@ def _store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row per row of docs, with the columns of SCORES. vocabulary: at most 65,534."""
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """One row per row of docs, with the columns of SCORES. vocabulary: how many words are classes of their own, all if None."""
     spark = docs.sparkSession
     parts = _parts(docs)
     ident = F.col(doc_id).cast("long")
@@ -299,27 +380,29 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     few = small_batches(docs).select(ident.alias("doc_id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
     of = lambda t, kind: t.where(F.col("kind") == kind)
 
-    one = _store(few.mapInArrow(_groups(parts, group_tokens), FIELDS), "lm-groups")
+    one = _store(few.mapInArrow(_groups(parts, group_tokens, vocabulary is not None), FIELDS), "lm-groups")
     two = _store(of(one, "words").groupBy("p").applyInArrow(by_group(_sum_words(vocabulary), FIELDS), FIELDS), "lm-words")
     found = [unpack(r.payload) for r in _tree(of(two, "unigrams"), parts, _merge_unigrams(vocabulary)).collect()]  # one row
-    n, v, ends, top = found[0] if found else (0, 0, 0, [])
-    classes = {b"": END} | {w: FIRST + k for k, (w, _) in enumerate(top)}
-    other_n, other_v = n - ends - sum(c for _, c in top), v - (ends > 0) - len(top)
-    held = spark.sparkContext.broadcast((classes, n, v, other_n, other_v))
-
-    three = _store(of(one, "docs").groupBy("g").cogroup(of(two, "counts").groupBy("g")).applyInArrow(by_group(_bigrams(held, parts), FIELDS), FIELDS), "lm-bigrams")
-    p1 = np.ones(1 << 16)
-    p1[: FIRST + len(top)] = np.array([ends, other_n, *(c for _, c in top)], dtype=float) + 1
-    p1[FIRST + len(top) :] = 0
-    p1 /= n + FIRST + len(top)
-    four = _store(of(three, "bigrams").groupBy("p").applyInArrow(by_group(_sum_bigrams(spark.sparkContext.broadcast(p1)), FIELDS), FIELDS), "lm-counts")
-    sums = np.zeros((DISCOUNTED + 3, 1 << 16))
-    for r in _tree(of(four, "contexts"), parts, _sum_contexts).collect():  # at most 16 rows
-        k = int(r.g) * RANGE
-        sums[:, k : k + RANGE] = np.frombuffer(unpack(r.payload)).reshape(-1, RANGE)
-    d = discounts(sums[: DISCOUNTED + 1].sum(axis=1))
-    model = spark.sparkContext.broadcast(((p1, d, *backoff(sums, d)), parts))
-    return of(three, "docs").groupBy("g").cogroup(of(four, "counts").groupBy("g")).applyInArrow(by_group(_score(model, int(n)), SCORES), SCORES)
+    n, v, ends, sizes, end, top = found[0] if found else (0, 0, 0, {}, (0, 0), [])
+    offsets = OTHER + 1 + np.concatenate(([0], np.cumsum([sizes.get(p, 0) for p in range(parts)])))
+    n_words = v - (ends > 0)
+    last, other_n, other_v = None, 0, 0
+    if vocabulary is not None and vocabulary < n_words:
+        last = (top[-1][1], top[-1][0]) if top else (n + 1, b"")
+        other_n, other_v = n - ends - sum(c for _, c in top), n_words - len(top)
+        n_words = len(top)
+    n_classes = n_words + 2
+    held = spark.sparkContext.broadcast((offsets, int(offsets[end[0]]) + end[1], last, n, v, other_n, other_v, n_classes))
+
+    docs_of = of(one, "docs").groupBy("g")
+    three = _store(docs_of.cogroup(of(two, "counts").groupBy("g")).applyInArrow(by_group(_bigrams(held, parts), FIELDS), FIELDS), "lm-bigrams")
+    four = _store(of(three, "bigrams").groupBy("p").applyInArrow(by_group(_sum_bigrams, FIELDS), FIELDS), "lm-counts")
+    seen = [unpack(r.payload) for r in _tree(of(four, "seen"), parts, _merge_seen).collect()]  # one row
+    d = discounts(np.array(seen[0] if seen else [0] * (DISCOUNTED + 1), float))
+    both = of(two, "counts").unionByName(of(four, "totals"))
+    five = _store(docs_of.cogroup(both.groupBy("g")).applyInArrow(by_group(_contexts(held, d, parts), FIELDS), FIELDS), "lm-contexts")
+    six = of(five, "contexts").groupBy("p").applyInArrow(by_group(_weights(n, n_classes, d), FIELDS), FIELDS)
+    return of(five, "docs").groupBy("g").cogroup(six.groupBy("g")).applyInArrow(by_group(_score(int(n)), SCORES), SCORES)
 
 
 def _parts(docs: DataFrame) -> int:
@@ -338,16 +421,17 @@ def _tree(rows: DataFrame, parts: int, merge) -> DataFrame:
     return rows
 
 
-def _merge_unigrams(vocabulary: int):
+def _merge_unigrams(vocabulary: int | None):
     def merge(key, batches):
         n = v = ends = 0
-        top: list = []
+        sizes, end, top = {}, None, []
         for b in batches:
             for payload in b.column("payload").to_pylist():
-                a, t, e, words = unpack(payload)
-                n, v, ends = n + a, v + t, ends + e
+                a, t, e, size, at, words = unpack(payload)
+                n, v, ends, end = n + a, v + t, ends + e, at or end
+                sizes |= size
                 top = sorted([*top, *words], key=lambda x: (-x[1], x[0]))[:vocabulary]
-        yield _batch([(key[0].as_py(), key[1].as_py(), pack((n, v, ends, top)), "unigrams")])
+        yield _batch([(key[0].as_py(), key[1].as_py(), pack((n, v, ends, sizes, end, top)), "unigrams")])
 
     return merge
 

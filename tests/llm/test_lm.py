@@ -82,3 +82,19 @@ def test_edges(spark):
 def test_better_than_base_on_held_out(spark, sf):
     got = lm.score_documents(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert got.s > got.b
+
+
+def test_all_words_are_classes(spark):
+    r = rng(19)
+    rows = [(k, " ".join(words(r, r.randrange(60)))) for k in range(60)] + [(100, None), (102, "Ünknown ZZZ qqq")]
+    found = sorted((x.doc_id, *x[1:]) for x in lm.score_documents(documents(spark, rows), group_tokens=50).collect())
+    for a, b in zip(found, brute(rows, 10**9), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
+    # Past any fixed rank: 70,000 commoner words, and rare ones whose bigrams count all the same.
+    held = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    trained = [k for k in range(2000) if k not in held]
+    common = " ".join(f"w{k}" for k in range(70_000))
+    rows = [(k, common) for k in trained[:3]] + [(k, "zzrare zzpair") for k in trained[3:5]] + [(k, "zzother") for k in trained[5:7]]
+    rows += [(held[0], "zzrare zzpair"), (held[1], "zzrare zzother")]
+    score = {x.doc_id: x.score for x in lm.score_documents(documents(spark, rows)).collect()}
+    assert score[held[0]] > score[held[1]] + 1
