@@ -54,9 +54,15 @@ def test_links_match_brute_force(spark, dense):
                 fps[len(fps)] = base
     signed = {i: v - (1 << 64) if v >> 63 else v for i, v in fps.items()}
     nodes = spark.createDataFrame(list(signed.items()), "id long, fp long")
-    found = {x.node: x.component for x in components(simhash.links(nodes, dense=dense)).collect()}
     want = brute_components(fps, lambda a, b: bin(a ^ b).count("1") <= 2)
-    assert {i: found.get(i, i) for i in fps} == want
+    for groups in (None, 5, 9, 16) if dense == 10_000 else (None,):
+        found = {x.node: x.component for x in components(simhash.links(nodes, groups=groups, dense=dense)).collect()}
+        assert {i: found.get(i, i) for i in fps} == want
+
+
+def test_groups_grow_with_the_corpus():
+    shares = [(6 / 16) ** (32 * (g - 2) // g) for g in map(simhash.groups_for, (10, 10**6, 10**8, 10**10))]
+    assert [simhash.groups_for(n) for n in (10, 10**6)] == [4, 4] and shares[2] * 10**8 < 1 and shares[3] * 10**10 < 1 and simhash.groups_for(10**10) <= 9
 
 
 @pytest.mark.parametrize("distance", [0, 1])
@@ -93,5 +99,27 @@ def test_documents(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = [x.doc_id for x in kept.collect()]
-    assert 3 in ids and 5 not in ids and None in ids and ids.count(4) == 1 and 8 not in ids and ids.count(6) == 1
+    assert 3 in ids and 5 not in ids and None not in ids and ids.count(4) == 1 and 8 not in ids and ids.count(6) == 2
+
+
+def test_null_and_repeated_ids(spark, monkeypatch):
+    """Links go through documents without id, and ids play no part in what a row is."""
+    fps = {"a": 0b11, "b": 0, "c": 0b1100, "d": 0xFF0000, "e": 0xFF0000, "f": 0xF0F0F0F000000000}
+    rows = [(1, "a"), (None, "b"), (2, "c"), (2, "d"), (2, "d"), (None, "e"), (None, "f"), (None, "f")]
+
+    def fake(docs, doc_id="doc_id", text="text", keys=()):
+        value = simhash.F.create_map(*[simhash.F.lit(x) for k, v in fps.items() for x in (k, v - (1 << 64) if v >> 63 else v)])
+        return docs.select("doc_id", value[simhash.F.col("text")].alias("fp"), *keys)
+
+    monkeypatch.setattr(simhash, "fingerprints", fake)
+    want = sorted([(1, 1), (None, 1), (2, 1), (2, 2), (2, 2), (None, 2), (None, None), (None, None)], key=str)
+    for parts in (1, 3, 6):
+        docs = documents(spark, rows).withColumnRenamed("lang", "group").repartition(parts)
+        got = simhash.near_duplicates(docs).collect()
+        assert sorted([(x.doc_id, x.component_id) for x in got], key=str) == want
+        assert sorted([(x.doc_id, x.text) for x in simhash.keep_one(docs).collect()], key=str) == sorted([(1, "a"), (2, "d"), (None, "f")], key=str)
+
+
+def test_empty_and_counts(spark):
+    docs = documents(spark, [(1, "x")])
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
