@@ -31,7 +31,7 @@ _WINDOWS = (
 
 
 def _quality_sql() -> str:
-    """The base counts, both histograms by counting, their languages' sums, and the distances."""
+    """The base counts, both histograms by counting, the trimmed references round by round, and the distances."""
     t = "coalesce(text, '')"
     every = "".join(quality.CLASSES.values())
     quoted = every.replace("'", "''")
@@ -41,18 +41,27 @@ def _quality_sql() -> str:
     lists = " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in quality.COMMON_WORDS.items())
     half = "CASE WHEN {a} > 0 THEN {a} * log2({a} * 2 / ({a} + {b})) ELSE 0 END"
     term = f"{half.format(a='x[1]', b='x[2]')} + {half.format(a='x[2]', b='x[1]')}"
-    jsd = lambda p, q: f"list_sum(list_transform(list_zip({p}, {q}), lambda x: {term})) / 2"
+    distance = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda x: {term})) / 2, 0))"
     share = lambda total, parts: f"list_transform(list_append({parts}, {total} - coalesce(list_sum({parts}), 0)), lambda x: x / {total})"
-    size = len(quality.CLASSES)
+    n_chars, n_words = len(quality.CLASSES) + 1, max(map(len, quality.COMMON_WORDS.values())) + 1
+    mean = f"list_value({', '.join(f'avg(cs[{i + 1}])' for i in range(n_chars))}) AS rc, list_filter(list_value({', '.join(f'avg(ws[{i + 1}])' for i in range(n_words))}), lambda x: x IS NOT NULL) AS rw"
+    rounds = f" u0 AS (SELECT lang, {mean} FROM v GROUP BY 1),"
+    for k in range(quality.TRIMS):
+        rounds += f" e{k} AS (SELECT v.*, {distance('cs', 'rc')} AS d FROM v JOIN u{k} USING (lang)), m{k} AS (SELECT lang, avg(d) + stddev_pop(d) AS most FROM e{k} GROUP BY 1), u{k + 1} AS (SELECT lang, {mean} FROM e{k} JOIN m{k} USING (lang) WHERE d <= most + 1e-9 GROUP BY 1),"
+    failed = "n_words < 20 OR 100 * n_repeat > 30 * n_words"
+    expected = lambda classes, n: f"sqrt(({classes} - 1) / ({n} * 8 * ln(2)))"
     return (
         f"WITH a AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, {t} AS t, {space} AS sp FROM documents),"
         f" b AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, translate(sp, '{quoted}', '{coded}') AS coded, CASE lang {lists} ELSE [] END AS listed FROM a),"
-        f" c AS (SELECT rid, doc_id, lang, w, len(w) AS n_words, length(replace(sp, ' ', '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, [{chars}] AS ch, list_transform(listed, lambda x: len(list_filter(w, lambda y: y = x))) AS cw FROM b),"
+        f" c AS (SELECT rid, doc_id, lang, t, w, len(w) AS n_words, length(replace(sp, ' ', '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, [{chars}] AS ch, list_transform(listed, lambda x: len(list_filter(w, lambda y: y = x))) AS cw FROM b),"
         " k AS (SELECT rid, unnest(range(1, len(w) - 6)) AS pos, w FROM c), g AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, win) AS n FROM (SELECT rid, pos, array_to_string(w[pos : pos + 7], ' ') AS win FROM k)), r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(pos, pos + 8)) AS p FROM g WHERE n > 1) GROUP BY 1),"
-        + f" u AS (SELECT lang, list_value({', '.join(f'CAST(sum(ch[{i + 1}]) AS BIGINT)' for i in range(size + 1))}) AS ch, list_value({', '.join(f'CAST(coalesce(sum(cw[{i + 1}]), 0) AS BIGINT)' for i in range(max(map(len, quality.COMMON_WORDS.values()))))}) AS cw, CAST(sum(n_words) AS BIGINT) AS n FROM c GROUP BY 1),"
-        f" j AS (SELECT c.*, coalesce(r.n, 0) AS n_repeat, CASE WHEN c.ch[1] >= {quality.MIN_CHARS} THEN {jsd(share('c.ch[1]', 'c.ch[2:]'), share('u.ch[1]', 'u.ch[2:]'))} ELSE 0 END AS dc, CASE WHEN n_words >= {quality.MIN_WORDS} AND len(c.cw) > 0 THEN {jsd(share('n_words', 'c.cw'), share('u.n', 'u.cw[1:len(c.cw)]'))} ELSE 0 END AS dw FROM c JOIN u ON c.lang = u.lang LEFT JOIN r ON r.rid = c.rid)"
-        " SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words, n_words < 20 OR 100 * n_repeat > 30 * n_words AS base_failed,"
-        f" NOT (n_words < 20 OR 100 * n_repeat > 30 * n_words) AND dc <= {quality.CHAR_LIMIT} AND dw <= {quality.WORD_LIMIT} AS kept, round(dc, 9) + 0.0 AS char_distance, round(dw, 9) + 0.0 AS word_distance FROM j"
+        f" f AS (SELECT c.*, coalesce(r.n, 0) AS n_repeat, {share('c.ch[1]', 'c.ch[2:]')} AS cs, {share('n_words', 'c.cw')} AS ws FROM c LEFT JOIN r ON r.rid = c.rid),"
+        f" v AS (SELECT DISTINCT ON (lang, t) lang, cs, ws FROM f WHERE NOT ({failed}) AND n_words >= {quality.MIN_WORDS}),"
+        + rounds
+        + f" j AS (SELECT f.*, CASE WHEN ch[1] >= {quality.MIN_CHARS} AND rc IS NOT NULL THEN {distance('cs', 'rc')} END AS dc, CASE WHEN n_words >= {quality.MIN_WORDS} AND rc IS NOT NULL AND len(cw) > 0 THEN {distance('ws', 'rw')} END AS dw FROM f LEFT JOIN u{quality.TRIMS} USING (lang)),"
+        f" o AS (SELECT *, coalesce(dc - {expected(n_chars, 'ch[1]')}, 0) AS oc, coalesce(dw - {expected('(len(cw) + 1)', 'n_words')}, 0) AS ow FROM j)"
+        f" SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words, {failed} AS base_failed,"
+        f" NOT ({failed}) AND oc <= {quality.CHAR_LIMIT} AND ow <= {quality.WORD_LIMIT} AS kept, round(coalesce(dc, 0), 9) + 0.0 AS char_distance, round(coalesce(dw, 0), 9) + 0.0 AS word_distance, round(oc, 9) + 0.0 AS char_excess, round(ow, 9) + 0.0 AS word_excess FROM o"
     )
 
 
