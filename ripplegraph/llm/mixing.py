@@ -4,14 +4,16 @@ Weights are proportional to (token share) ** x. x is the largest value in 0..1 a
 `entropy_share` of the most there can be and, if `max_repeats` is given, the smallest at which no source is repeated more
 often; it is found by sectioning an interval that brackets it (16 parts a round, so 8 rounds halve it 32 times).
 
-A source's budget is its weight times the token budget. Its documents are put in an order by a hash of id and epoch and
-taken epoch by epoch until the budget is used up; a document's place in its budget, as a share, gives its block, so each
-block holds all sources by weight. Places are running sums in two levels: ranges of the hash per source and epoch are
-summed first, so no task takes a source whole, however hot.
-
-Native: DataFrame functions only. Defined cases: null text has no tokens and its document is taken with the place it
-falls on; null source is a source of its own; repeated rows are told apart by nothing and share places; an empty table
-gives an empty result.
+A source's budget is its weight times the token budget. Its documents are put in an order by a hash of their content and the
+epoch and taken epoch by epoch until the budget is used up; a document's place in its budget, as a share, gives its block,
+so each block holds all sources by weight. Places are running sums in two levels: ranges of the hash per source and epoch are
+summed first, so no task takes a source whole, however hot; there are more ranges the more rows there are.
+
+Native: DataFrame functions only. Rows are told apart by 128 bits of their content, so the mixture doesn't depend on how
+they are partitioned. Defined cases: null text has no tokens and its document is taken with the place it falls on; null
+source is a source of its own; rows with null or repeated ids are documents of their own; rows that are equal in every
+column stand next to each other in the order, each with a place; very long texts count whole; an empty table gives an
+empty result. In `mixed` a column with the name of one of the mixture's gives way to it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm.util import cut, table
 
-ENTROPY_SHARE, MAX_REPEATS, BUDGET_SHARE, BLOCKS, RANGES, SEED = 0.97, 4.0, 1.0, 64, 4096, 11
+ENTROPY_SHARE, MAX_REPEATS, BUDGET_SHARE, BLOCKS, RANGE_ROWS, SEED = 0.97, 4.0, 1.0, 64, 20_000, 11
 PARTS, ROUNDS = 16, 8
 
 
@@ -81,30 +83,47 @@ def source_weights(docs: DataFrame, source: str, tokens: str, budget_share: floa
     return p.select("source", "tokens", (F.col("w") / whole).alias("weight"), F.round(F.col("w") / whole * budget).cast("long").alias("budget"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", blocks: int = BLOCKS, ranges: int = RANGES, seed: int = SEED, **how) -> DataFrame:
-    """The mixture: doc_id, source, epoch, n_tokens, block, place (in the block, a sort key), weight.
+def _keyed(docs: DataFrame) -> DataFrame:
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    return docs.withColumns({"__h": F.xxhash64(*plain), "__g": F.xxhash64(F.lit("mix"), *reversed(plain))})
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", blocks: int = BLOCKS, range_rows: int = RANGE_ROWS, seed: int = SEED, keys: bool = False, **how) -> DataFrame:
+    """The mixture: doc_id, source, epoch, n_tokens, block, place (in the block, a sort key), weight; keys: and the rows' content hashes.
 
     A document is in it once for each epoch in which it falls within its source's budget.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("n_tokens"))
+    d = _keyed(docs).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("n_tokens"), "__h", "__g")
     d = cut(d, "mix-tokens")
+    ranges = max(16, -(-d.count() // range_rows))
     weights = cut(source_weights(d, "source", "n_tokens", **how), "mix-weights")
     epochs = F.when(F.col("tokens") > 0, F.ceil(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int")
     one = weights.select(F.col("source").alias("s"), "tokens", "weight", "budget", epochs.alias("epochs")).where("epochs > 0")
     e = d.join(one, F.col("source").eqNullSafe(F.col("s"))).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    e = e.withColumn("h", F.pmod(F.xxhash64("doc_id", "epoch", F.lit(seed)), F.lit(1 << 40)))
-    e = e.withColumn("r", F.floor(F.col("h") / F.lit((1 << 40) // ranges)).cast("int")).drop("s")
+    e = e.withColumn("h", F.pmod(F.xxhash64("__h", "epoch", F.lit(seed)), F.lit(1 << 40)))
+    e = e.withColumn("r", F.floor(F.col("h") * ranges / (1 << 40)).cast("int")).drop("s")
     # level one: what the ranges before hold
     sums = e.groupBy("source", "epoch", "r").agg(F.sum("n_tokens").alias("n"))
     before = sums.select(F.col("source").alias("s2"), F.col("epoch").alias("e2"), F.col("r").alias("r2"), (F.sum("n").over(Window.partitionBy("source", "epoch").orderBy("r")) - F.col("n")).alias("before"))
     # level two: the documents before in the range
-    own = Window.partitionBy("source", "epoch", "r").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "epoch", "r").orderBy("h", "__h", "__g").rowsBetween(Window.unboundedPreceding, -1)
     e = e.withColumn("within", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
     e = e.join(cut(before, "mix-ranges"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("epoch") == F.col("e2")) & (F.col("r") == F.col("r2")))
     at = F.col("epoch") * F.col("tokens") + F.col("before") + F.col("within")
     e = e.withColumn("at", at).where((F.col("at") + F.col("n_tokens") <= F.col("budget")))
     block = F.least(F.floor(F.col("at") * blocks / F.greatest("budget", F.lit(1))), F.lit(blocks - 1)).cast("int")
-    return e.select("doc_id", "source", "epoch", "n_tokens", block.alias("block"), F.xxhash64("doc_id", "epoch", F.lit(seed + 1)).alias("place"), "weight")
+    return e.select("doc_id", "source", "epoch", "n_tokens", block.alias("block"), F.xxhash64("__h", "epoch", F.lit(seed + 1)).alias("place"), "weight", *(["__h", "__g"] if keys else []))
+
+
+MIXTURE = ["epoch", "n_tokens", "block", "place", "weight"]
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mixture with its documents: the columns of docs, and those of MIXTURE. Texts move once, to meet the places by content."""
+    plan = mix(docs, keys=True, **how).select("__h", "__g", *MIXTURE)
+    kept = [c for c in docs.columns if c not in MIXTURE]
+    one = _keyed(docs).dropDuplicates(["__h", "__g"]).select(*kept, "__h", "__g")  # equal rows have their places in the plan
+    return one.join(cut(plan, "mix-plan"), ["__h", "__g"]).select(*kept, *MIXTURE)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,10 @@ def test_weights(spark):
         assert max(ratio, default=0) - min(ratio, default=0) < 1e-9
 
 
-@pytest.mark.parametrize("ranges", [1, 7, 4096])
-def test_places_match_brute_force(spark, ranges):
+@pytest.mark.parametrize("ranges", [1, 10, 10_000])
+def test_budgets_and_blocks(spark, ranges):
     rows, docs = corpus(spark)
-    got = mixing.mix(docs.withColumnRenamed("n_chars", "n_tokens"), ranges=ranges, blocks=5)
+    got = mixing.mix(docs.withColumnRenamed("n_chars", "n_tokens"), range_rows=ranges, blocks=5)
     found = got.collect()
     weights = {x.source: x for x in mixing.source_weights(docs.select("source", mixing.token_count(docs.text).alias("n")), "source", "n").collect()}
     assert len({(x.doc_id, x.epoch) for x in found}) == len(found)
@@ -63,7 +63,41 @@ def test_places_match_brute_force(spark, ranges):
                 assert abs(sum(x.n_tokens for x in own if x.block == b) - w.budget / 5) <= 30 + max(0, w.budget - used)
 
 
+def brute_mix(spark, docs, blocks, seed=mixing.SEED):
+    """(doc_id, source, epoch, block, text) of the mixture by plain running sums; only hashes and weights come from Spark."""
+    weights = {x.source: x for x in mixing.source_weights(docs.select("source", mixing.token_count(docs.text).alias("n")), "source", "n").collect()}
+    keyed = mixing._keyed(docs)
+    out = []
+    epochs = 1 + max((w.budget // w.tokens for w in weights.values() if w.tokens), default=0)
+    hashes = [mixing.F.pmod(mixing.F.xxhash64("__h", mixing.F.lit(k), mixing.F.lit(seed)), mixing.F.lit(1 << 40)).alias(f"h{k}") for k in range(epochs)]
+    rows = keyed.select("doc_id", "source", "text", "__h", "__g", *hashes).collect()
+    for s, w in weights.items():
+        own = [x for x in rows if x.source == s]
+        for e in range(math.ceil(w.budget / w.tokens) if w.tokens else 1):
+            at = e * w.tokens
+            for x in sorted(own, key=lambda x: (x[f"h{e}"], x["__h"], x["__g"])):
+                n = len((x.text or "").split())
+                if at + n <= w.budget:
+                    out.append((x.doc_id, s, e, min(at * blocks // max(w.budget, 1), blocks - 1), x.text))
+                at += n
+    return sorted(out, key=str)
+
+
+def test_places_match_brute_force(spark):
+    rows, docs = corpus(spark)
+    r = rng(31)
+    rows = rows + [(None, " ".join(words(r, 9)), "en", "mid") for _ in range(6)] + [(7, " ".join(words(r, 20)), "en", "small") for _ in range(4)] + rows[:3] * 2 + [(None, None, None, None)]
+    for parts, ranges in ((1, 10), (3, 1), (5, 10_000)):
+        docs = documents(spark, rows).repartition(parts).withColumnRenamed("lang", "weight")
+        want = brute_mix(spark, docs, 5)
+        got = mixing.mix(docs, blocks=5, range_rows=ranges).collect()
+        assert sorted([(x.doc_id, x.source, x.epoch, x.block) for x in got], key=str) == sorted([x[:4] for x in want], key=str)
+        full = mixing.mixed(docs, blocks=5, range_rows=ranges)
+        assert full.columns == ["doc_id", "text", "source", "n_chars", *mixing.MIXTURE]
+        assert sorted([(x.doc_id, x.source, x.epoch, x.block, x.text) for x in full.collect()], key=str) == want
+
+
 def test_empty(spark):
     _, docs = corpus(spark)
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
     assert {x.doc_id for x in mixing.mix(documents(spark, [(1, None)])).collect()} <= {1}
