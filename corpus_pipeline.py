@@ -27,8 +27,8 @@ def remove_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: sources at their weights, in blocks."""
-    return mixing.mix(docs)
+    """The training order: documents with their sanitised texts, sources at their weights, in blocks."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
