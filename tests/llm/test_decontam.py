@@ -41,10 +41,10 @@ def cases():
 def test_matches_brute_force(spark):
     items, texts = cases()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    docs = documents(spark, list(enumerate(texts)))
-    for how in ({}, {"block_bytes": 150}):
+    docs = documents(spark, [*enumerate(texts), (3, texts[3])])
+    for how in ({}, {"block_bytes": 500}, {"block_bytes": 150, "piece_words": 3}):
         got = decontam.contamination(docs, bench, **how).collect()
-        assert len(got) == len(texts)
+        assert len(got) == len(texts) + 1
         for x in got:
             n, hit, found = brute(texts[x.doc_id], items)
             assert (x.n_words, x.n_hit, x["items"]) == (n, hit, found), (how, texts[x.doc_id])
@@ -63,3 +63,39 @@ def test_removal(spark):
     assert decontam.remove_contamination(docs, bench).columns == docs.columns
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_automaton_matches_brute_force_on_long_items():
+    r = rng(19)
+    for _ in range(60):
+        v = [f"w{k}" for k in range(r.choice([1, 2, 3, 40]))]
+        items = [(k, " ".join(words(r, r.randrange(1, 60), v))) for k in range(r.randrange(1, 8))]
+        auto = decontam.SuffixAutomaton(items)
+        for _ in range(4):
+            text = " ".join(words(r, r.randrange(120), [*v, "x"]))
+            spans, found = auto.matches(decontam.words_of(text))
+            assert (len(split(text)), sum(b - a for a, b in spans), sorted(map(str, found))) == brute(text, items)
+
+
+def test_memory_of_a_block():
+    """A full block of words that are all different, the worst case of text, is under 100 bytes a byte of text, as a whole under 400 MB."""
+    import tracemalloc
+
+    size = decontam.BLOCK_BYTES // 8
+    items = [(k, " ".join(f"{(k * 997 + j) * 2654435761 % (1 << 32):07x}"[:7] for j in range(997))) for k in range(size // 8 // 997)]
+    tracemalloc.start()
+    auto = decontam.SuffixAutomaton(items)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    text = sum(len(t) for _, t in items)
+    assert auto.items and peak / text < 95, (held, peak, text)
+    assert peak / text * decontam.BLOCK_BYTES < 400 << 20
+
+
+def test_long_items_are_cut_without_losing_windows(spark):
+    r = rng(21)
+    text = " ".join(words(r, 400, [f"w{k}" for k in range(30)]))
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    docs = documents(spark, [(k, " ".join(text.split()[k : k + 13])) for k in range(388)])
+    for piece in (1, 7, 50):
+        assert decontam.contamination(docs, bench, piece_words=piece, block_bytes=2000).where("n_hit = 13 and items = array('1')").count() == 388
