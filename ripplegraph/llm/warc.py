@@ -4,33 +4,56 @@ Writing: each task writes one file of gzip members, one record a member, under a
 writes a manifest of the files of the attempts that succeeded, and an index beside each file gives every member's place,
 type and digest. Readers only see files of a manifest, so what a lost or repeated attempt leaves is never read.
 
-Reading: one partition a file. Predicates on record_type and page_id are pushed down and checked on the index, so an
-unwanted member isn't even read. Without an index the headers are parsed first, and the payload of an unwanted record
-is skipped undecoded. If no column needs the payload, it is not decoded.
+Reading: an archive of this writer is read by its manifest and indexes; a predicate on type or page is checked on the index,
+so an unwanted member isn't even read. Any other folder or file is read by its .warc and .warc.gz files as they are. Files are
+split into partitions of about `split_bytes`: by the index, or where a gzip member starts with a record (each record that
+crawlers write is a member); a plain .warc is a partition. Headers are parsed first: predicates on record type, page, record,
+URL, date and payload digest are tested on them, and what is unwanted is passed over: by a seek in a plain file, without
+being kept, parsed or digested in a compressed one. If no column needs the payload it is passed over too. A folder without
+archives is an error.
 
 Paths go through pyarrow's file systems, so a shared mount, HDFS or an object store work alike.
 
 Defined cases: a null payload is empty; a null page_id is written as '-' and counts as the smallest; rows that repeat
-page_id and payload all are responses or all revisits of the same page; an empty table gives an archive without records.
+page_id and payload all are responses or all revisits of the same page; ties of page_id are broken by nothing else, as such
+records are equal; very long payloads are compressed and checked whole; an empty table gives an archive without records;
+other columns of the pages aren't written, whatever their names. A record of another writer has the page_id of a record id of
+the form <urn:page:N>, else null; payload_bytes and payload_digest are what its headers say, or of its payload if they
+don't, null if it has none; its payload is what follows the HTTP headers of a response or request, else its block.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import json
 import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+    StringStartsWith,
+    WriterCommitMessage,
+)
 
 from ripplegraph.llm.util import fresh_path, table
 
 LEVEL = 3
 MIN_PAYLOAD = 0
-FIELDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
+FIELDS = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary, record_id string, date string"
+SPLIT_BYTES, STEP = 128 << 20, 1 << 16
 DATE = "1970-01-01T00:00:00Z"  # records carry no time of their own; a fixed one keeps archives reproducible
 _STATUS = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -120,86 +143,228 @@ class WarcWriter(DataSourceArrowWriter):
                     system.delete_file(f"{root}/{x}")
 
 
-class ArchiveFile(InputPartition):
-    def __init__(self, name: str):
-        super().__init__(name)
-        self.name = name
+class Part(InputPartition):
+    """Members of a file that start in [start, end); indexed: the file has an index of this writer beside it."""
+
+    def __init__(self, path: str, start: int, end: int, indexed: bool):
+        super().__init__(f"{path}:{start}")
+        self.path, self.start, self.end, self.indexed = path, start, end, indexed
+
+
+class Bytes:
+    """The bytes of an archive from a place on: of a plain file as they are, else of its gzip members, one after the other."""
+
+    def __init__(self, file, start: int, plain: bool):
+        self.file, self.plain, self.at = file, plain, start  # at: the file's place of the first byte that isn't decoded
+        self.raw, self.held, self.z = b"", b"", None
+        self.opened = self.member = start  # where the members of the last decoded byte and of the first held byte start
+        file.seek(start)
+
+    def _more(self) -> bool:
+        """Holds more bytes; False at the end of the file."""
+        while True:
+            if not self.raw:
+                self.raw = self.file.read(STEP)
+            if self.plain:
+                self.held, self.raw, more = self.held + self.raw, b"", bool(self.raw)
+                return more
+            if not self.raw and (self.z is None or self.z.eof):
+                return False
+            if self.z is None or self.z.eof:
+                self.z, self.opened = zlib.decompressobj(31), self.at
+            size = len(self.raw)
+            out = self.z.decompress(self.raw, STEP)
+            self.raw = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            self.at += size - len(self.raw)
+            if out:
+                if not self.held:
+                    self.member = self.opened
+                self.held += out
+                return True
+            if not size:  # the file ends within a member
+                return False
+
+    def head(self) -> bytes | None:
+        """The next record's header block, None at the end of the file; `member` then is the member that it starts in."""
+        while not self.held:
+            if not self._more():
+                return None
+            self.held = self.held.lstrip(b"\r\n")
+        self.held = self.held.lstrip(b"\r\n")
+        if not self.held:
+            return self.head()
+        while (end := self.held.find(b"\r\n\r\n")) < 0:
+            if not self._more():
+                return None
+        out, self.held = self.held[:end], self.held[end + 4 :]
+        return out
+
+    def take(self, size: int) -> bytes:
+        parts = []
+        while size > 0 and (self.held or self._more()):
+            parts.append(self.held[:size])
+            self.held = self.held[size:]
+            size -= len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, size: int) -> None:
+        if self.plain and size > len(self.held):
+            self.file.seek(self.file.tell() + size - len(self.held))
+            self.held = b""
+            return
+        while size > 0 and (self.held or self._more()):
+            size, self.held = size - min(size, len(self.held)), self.held[size:]
+
+
+def first_member(file, start: int, end: int) -> int | None:
+    """Where the first gzip member at or after start begins that begins a record; None if that isn't before end."""
+    if start == 0:
+        return 0
+    at, tail = start, b""
+    file.seek(start)
+    while chunk := file.read(1 << 20):
+        data = tail + chunk
+        base, k = at - len(tail), -1
+        while (k := data.find(b"\x1f\x8b\x08", k + 1)) >= 0:
+            if base + k >= end:
+                return None
+            try:
+                file.seek(base + k)
+                if zlib.decompressobj(31).decompress(file.read(4096), 5) == b"WARC/":
+                    return base + k
+            except zlib.error:
+                pass
+        at += len(chunk)
+        tail = data[-2:]
+        file.seek(at)
+    return None
+
+
+_COMPARE = {EqualTo: lambda a, b: a == b, GreaterThan: lambda a, b: a > b, GreaterThanOrEqual: lambda a, b: a >= b, LessThan: lambda a, b: a < b, LessThanOrEqual: lambda a, b: a <= b, StringStartsWith: lambda a, b: a.startswith(b), In: lambda a, b: a in b}
+_BY_HEADER = ("record_type", "page_id", "record_id", "url", "date", "payload_digest", "refers_to")
+
+
+def header_fields(head: dict[str, str]) -> dict:
+    page = lambda x: int(x[10:-1]) if x and x.startswith("<urn:page:") and x[10:-1].lstrip("-").isdigit() else None
+    digest = head.get("warc-payload-digest")
+    return {
+        "page_id": page(head.get("warc-record-id")),
+        "record_id": head.get("warc-record-id"),
+        "url": head.get("warc-target-uri"),
+        "record_type": head.get("warc-type"),
+        "refers_to": page(head.get("warc-refers-to")),
+        "date": head.get("warc-date"),
+        "payload_digest": digest.removeprefix("sha1:") if digest else None,
+    }
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, schema):
-        self.path, self.names = path, schema.names
-        self.types: set[str] | None = None
-        self.pages: set[int] | None = None
+    def __init__(self, path: str, schema, split_bytes: int = SPLIT_BYTES):
+        self.path, self.names, self.split_bytes = path, schema.names, split_bytes
+        self.tests: list[tuple[str, object, object]] = []  # column, filter type, value
 
     def pushFilters(self, filters):
-        """Takes record types and page ids; what it can't, Spark filters."""
+        """Takes what record headers tell; what it can't, Spark filters."""
         for f in filters:
-            column = f.attribute[0] if isinstance(f, (EqualTo, In)) else None
-            if column not in ("record_type", "page_id"):
-                yield f
-                continue
-            wanted = set(f.value) if isinstance(f, In) else {f.value}
-            if column == "record_type":
-                self.types = wanted if self.types is None else self.types & wanted
+            column = f.attribute[0] if type(f) in _COMPARE and len(f.attribute) == 1 else None
+            # of other writers' records a header may lack the digest, which the payload then gives
+            if column in _BY_HEADER and column != "payload_digest":
+                self.tests.append((column, type(f), f.value))
             else:
-                self.pages = wanted if self.pages is None else self.pages & wanted
+                if column == "payload_digest":
+                    self.tests.append((column, type(f), f.value))
+                yield f
+
+    def wanted(self, found: dict, known: tuple[str, ...] = _BY_HEADER) -> bool:
+        for column, kind, value in self.tests:
+            if column in known and not (column == "payload_digest" and found[column] is None):
+                if found[column] is None or value is None or not _COMPARE[kind](found[column], value):
+                    return False
+        return True
 
     def partitions(self):
         from pyarrow import fs
 
         system, root = files(self.path)
-        names = []
-        for info in system.get_file_info(fs.FileSelector(root)):
-            if info.base_name.startswith("manifest-"):
-                with system.open_input_stream(info.path, compression=None) as f:
-                    names += json.loads(f.read())
-        return [ArchiveFile(x) for x in sorted(names)]
-
-    def read(self, partition: ArchiveFile | None):
-        if partition is None:  # planned without files
+        whole = system.get_file_info(root)
+        infos = {x.path: x for x in (system.get_file_info(fs.FileSelector(root, recursive=True)) if whole.type == fs.FileType.Directory else [whole])}
+        manifests = [p for p in infos if p.rsplit("/", 1)[-1].startswith("manifest-") and p.endswith(".json")]
+        if manifests:
+            chosen = []
+            for path in sorted(manifests):
+                with system.open_input_stream(path, compression=None) as f:
+                    chosen += [f"{path.rsplit('/', 1)[0]}/{x}" for x in json.loads(f.read())]
+        else:
+            chosen = [p for p in sorted(infos) if p.endswith((".warc", ".warc.gz"))]
+            if not chosen:
+                raise FileNotFoundError(f"no WARC archive in {self.path}")
+        parts = []
+        for path in chosen:
+            size = infos[path].size
+            step = self.split_bytes if path.endswith(".gz") else max(size, 1)
+            parts += [Part(path, at, min(at + step, size), bool(manifests) and f"{path}.idx" in infos) for at in range(0, size, step)]
+        return parts or [Part("", 0, 0, False)]
+
+    def read(self, part: Part | None):
+        if part is None or not part.path:  # planned without files
             return
-        system, root = files(self.path)
-        with system.open_input_stream(f"{root}/{partition.name}.idx", compression=None) as f:
-            index = [json.loads(x) for x in f.read().decode().split("\n") if x]
-        with system.open_input_file(f"{root}/{partition.name}") as f:
-            for at, size, page, kind in index:
-                if (self.types is not None and kind not in self.types) or (self.pages is not None and page not in self.pages):
-                    continue
+        system, _ = files(self.path)
+        with system.open_input_file(part.path) as f:
+            yield from self.indexed(system, f, part) if part.indexed else self.scanned(f, part)
+
+    def indexed(self, system, f, part: Part):
+        with system.open_input_stream(f"{part.path}.idx", compression=None) as x:
+            index = [json.loads(line) for line in x.read().decode().split("\n") if line]
+        for at, size, page, kind in index:
+            if part.start <= at < part.end and self.wanted({"page_id": page, "record_type": kind}, ("page_id", "record_type")):
                 f.seek(at)
-                yield self.row(f.read(size))
-
-    def row(self, member: bytes) -> tuple:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(member, 2048)
-        while (end := raw.find(b"\r\n\r\n")) < 0 and not z.eof:
-            raw += z.decompress(z.unconsumed_tail, 2048)
-        head = parse_head(raw[:end])
-        kind = head["warc-type"]
+                one = Bytes(io.BytesIO(f.read(size)), 0, False)
+                if (row := self.row(one, one.head())) is not None:
+                    yield row
+
+    def scanned(self, f, part: Part):
+        plain = not part.path.endswith(".gz")
+        start = 0 if plain else first_member(f, part.start, part.end)
+        if start is None:
+            return
+        records = Bytes(f, start, plain)
+        while (head := records.head()) is not None and (plain or records.member < part.end):
+            if not head.startswith(b"WARC/"):
+                raise ValueError(f"{part.path}: no record where one should start, before byte {records.at}")
+            if (row := self.row(records, head)) is not None:
+                yield row
+
+    def row(self, records: Bytes, raw: bytes) -> tuple | None:
+        """The record after its header block, passed over as far as it isn't wanted."""
+        head = parse_head(raw)
+        found = header_fields(head)
+        length = int(head.get("content-length") or 0)
+        if not self.wanted(found):
+            records.skip(length)
+            return None
+        known = head.get("x-payload-bytes")
+        has_payload = found["record_type"] != "revisit"
+        need = has_payload and ("payload" in self.names or "payload_bytes" in self.names and known is None or "payload_digest" in self.names and found["payload_digest"] is None)
         payload = None
-        if kind == "response" and {"payload", "payload_bytes", "payload_digest"} & set(self.names):
-            length = int(head["content-length"])
-            rest = raw + z.decompress(z.unconsumed_tail) + z.flush()
-            block = rest[end + 4 : end + 4 + length]
-            payload = block[block.index(b"\r\n\r\n") + 4 :]
-            if digest32(payload) != head["warc-payload-digest"].removeprefix("sha1:"):
-                raise ValueError(f"record {head['warc-record-id']} doesn't have the payload of its digest")
-        page = lambda x: None if x in (None, "-") else int(x)
-        ident = lambda x: page(x[len("<urn:page:") : -1]) if x else None
-        found = {
-            "page_id": ident(head["warc-record-id"]),
-            "url": head["warc-target-uri"],
-            "record_type": kind,
-            "refers_to": ident(head.get("warc-refers-to")),
-            "payload_bytes": len(payload) if payload is not None else int(head["x-payload-bytes"]),
-            "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
-            "payload": payload,
-        }
+        if need:
+            payload = records.take(length)
+            if len(payload) < length:
+                raise ValueError(f"record {found['record_id']} ends early")
+            if head.get("content-type", "").startswith("application/http"):
+                _, _, payload = payload.partition(b"\r\n\r\n")
+            if "payload" in self.names and head.get("warc-payload-digest", "").startswith("sha1:") and digest32(payload) != found["payload_digest"]:
+                raise ValueError(f"record {found['record_id']} doesn't have the payload of its digest")
+        else:
+            records.skip(length)
+        found["payload"] = payload
+        found["payload_bytes"] = len(payload) if payload is not None else int(known) if known is not None else None
+        if found["payload_digest"] is None and payload is not None:
+            found["payload_digest"] = digest32(payload)
         return tuple(found[x] for x in self.names)
 
 
 class WarcSource(DataSource):
-    """format("warc"): option path."""
+    """format("warc"): options path, a folder or file, and split_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -209,7 +374,7 @@ class WarcSource(DataSource):
         return FIELDS
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options["path"], schema)
+        return WarcReader(self.options["path"], schema, int(self.options.get("split_bytes", SPLIT_BYTES)))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
         return WarcWriter(self.options["path"], schema)
@@ -237,9 +402,9 @@ def write_warc(pages: DataFrame, path: str, **how) -> None:
     planned(pages, **how).write.format("warc").mode("append").save(path)
 
 
-def read_warc(spark: SparkSession, path: str, fields: str = FIELDS) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, fields: str = FIELDS, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").schema(fields).load(path)
+    return spark.read.format("warc").schema(fields).option("split_bytes", split_bytes).load(path)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
