@@ -26,40 +26,14 @@ def test_import_guard_is_only_in_the_entry():
 
 
 def test_stages_match_brute_force(spark, sf):
-    """The first four stages, each by its definition in plain Python over the smallest tables."""
-    import math
-    import re
-    from collections import Counter
-
-    from ripplegraph.llm import decontam, pii, quality
+    """The first four stages, each by its definition in plain Python over the smallest tables; the last one keeps their texts."""
+    from ripplegraph.llm import decontam, pii
     from tests.llm import test_decontam, test_pii, test_quality, test_simhash
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = {x.doc_id: (x.text, x.lang) for x in docs.collect()}
+    rows = [(x.doc_id, x.text, x.lang, x.source) for x in docs.collect()]
     items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-
-    def chars(text):
-        c = Counter(next((k for k, v in quality.CLASSES.items() if ch in v), "other") for ch in re.sub(r"[\t\n\x0b\x0c\r]", " ", text))
-        return [c[k] for k in (*quality.CLASSES, "other")]
-
-    def common(text, lang):
-        c = Counter(test_quality.WORD.findall(text))
-        listed = quality.COMMON_WORDS.get(lang, [])
-        return [c[w] for w in listed] + [sum(c.values()) - sum(c[w] for w in listed)]
-
-    share = lambda h: [x / sum(h) for x in h]
-    add = lambda hs: [sum(v) for v in zip(*hs, strict=True)]
-    refs = {g: (share(add([chars(t) for t, x in rows.values() if x == g])), share(add([common(t, g) for t, x in rows.values() if x == g]))) for g in {x for _, x in rows.values()}}
-
-    def good(text, lang):
-        n, _, _, _, again = test_quality.brute(text)
-        if n < 20 or 100 * again > 30 * n:
-            return False
-        far = len(text) >= quality.MIN_CHARS and test_quality.jsd(share(chars(text)), refs[lang][0]) > quality.CHAR_LIMIT
-        return not far and not (n >= quality.MIN_WORDS and test_quality.jsd(share(common(text, lang)), refs[lang][1]) > quality.WORD_LIMIT)
-
-    assert not math.isnan(sum(refs["en"][0]))
-    first = {k: t for k, (t, g) in rows.items() if good(t, g)}
+    first = {x[0]: x[1] for x, (_, _, ok) in zip(rows, test_quality.brute_report(rows), strict=True) if ok}
     near = test_simhash.brute_components({k: test_simhash.brute_print(t) for k, t in first.items()}, lambda a, b: bin(a ^ b).count("1") <= 2)
     second = {k: t for k, t in first.items() if near[k] == k}
     third = {}
@@ -85,9 +59,13 @@ def test_stages_match_brute_force(spark, sf):
             assert len(decontam.words_of(got[k])) == n - hit and test_decontam.brute(got[k], items)[1] == 0
     d = {x.doc_id: x.text for x in stages["remove_pii"](spark, c, sf).collect()}
     assert d.keys() == third.keys()
+    terms = test_pii.brute_terms(got.values())
     for k, t in got.items():
+        spans = [(int(a), pii.KINDS.index(kind), int(z)) for kind, a, z in (x.split(":") for x in test_pii.brute_spans(t, terms.get(t, ())).split(",") if x)]
         assert test_pii.brute(d[k]) == [] and (d[k] == t) == (test_pii.brute(t) == [])
-        assert d[k] == pii.clean(t, pii.base_spans(t))
+        assert d[k] == pii.clean(t, spans)
+    e = stages["mix_sources"](spark, stages["remove_pii"](spark, c, sf), sf).collect()
+    assert e and all(x.text == d[x.doc_id] for x in e)
 
 
 def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, sf):
@@ -104,5 +82,5 @@ def test_stages_take_nulls_repeats_clashes_and_empty_tables(spark, sf):
         last = name == corpus_pipeline.STAGES[-1][0]
         assert last or got.columns == docs.columns, name
         n = got.count()
-        assert last or {"quality_rules": n < 10, "near_dedup": n < 10, "decontaminate": n == 10, "remove_pii": n == 10}[name], (name, n)
+        assert last or {"quality_rules": n < 10, "near_dedup": n < 9, "decontaminate": n == 10, "remove_pii": n == 10}[name], (name, n)
         assert stage(spark, docs.limit(0), sf).count() == 0, name
