@@ -1,23 +1,25 @@
-"""Katz backoff scoring, with bigram counts of the training documents.
+"""Katz backoff scoring, with counts of the training documents.
 
 Each training word is a class of its own, however many there are; others are the end of a text (also the context of its
-first word), and one class for all other words; within that class a word has (c + 1) / (tokens + types + 1), c its
-training count, where all unseen words share the last place. With `vocabulary` only that many of the commonest words are
-classes. P(v) = (c(v) + 1) / (N + classes). A bigram that was seen has the Good-Turing discounted share
-d(c) c(u,v) / c(u), counts over 5 undiscounted; one that wasn't has alpha(u) P(v), and alpha(u) is what the seen ones leave
-over what P leaves of them, so each context sums to one exactly. A context whose seen bigrams would leave less than
-1 / (c(u) + 1) is scaled to leave that.
+first word), and one class for all words that weren't seen. Counts of up to DISCOUNTED are discounted by Good-Turing at
+both orders, by the counts of their order. Evaluated from the longest context down: a bigram (u, v) that was seen has
+d2(c) c(u,v) / c(u); one that wasn't has alpha(u) times the share of v alone, which is d1(c) c(v) / N if v was seen, else
+what all discounts of words leave. alpha(u) is what the seen bigrams of u leave over what the shares of their words leave
+of one, so each context sums to one exactly. A context whose seen bigrams would leave less than 1 / (c(u) + 1) is scaled to
+leave that; so are words to leave 1 / (N + 1).
 
 Nothing is looked up row by row and no count is kept in one place. Documents are cut into groups of bounded size; a
 group sends its distinct words (then its distinct bigrams) with their counts, dealt by hash, to where they are summed,
 and gets the sums back in the order it sent them. Each word has a number from where its counts meet, and a bigram is the
 exact pair of numbers. Of the groups that sent a bigram the first one owns it: it adds the bigram to its context's sums,
-which meet by word and go back to the groups as weights. Frequent words cost one entry a group, so no key is hot. Groups
-and sums are tables in the shared folder, `kind` by `kind`; a lost executor repeats tasks from them. Only a few totals, one
-number a part and (if given) the vocabulary reach the driver; totals and numbers are broadcast.
-
-Defined cases: null text has only its end; a null doc_id counts as the text ''; repeated rows count and are scored row
-by row; with an empty training set c = N = V = 0; an empty table gives an empty result.
+which are whole numbers, meet by word and go back to the groups, which make the weights. Frequent words cost one entry a group,
+so no key is hot. Sums are tables in the shared folder, `kind` by `kind`; a lost executor repeats tasks from them. Only a few
+totals and one number a part reach the driver, and are broadcast. A group has a row for each part, as a task of a shuffle has
+a block for each reader, so on large clusters groups are as large as their memory lets them be (`group_tokens`).
+
+Defined cases: null text has only its end; a null doc_id counts as the text ''; repeated rows, with equal ids or null ones,
+count and are scored row by row; ties don't arise, as no word is ranked; very long texts make a group of their own; with an
+empty training set c = N = V = 0; an empty table gives an empty result; other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from ripplegraph.llm.util import by_group, fresh_path, small_batches, table
 
 DISCOUNTED, GROUP_TOKENS, FOLDS, HELD_OUT = 5, 3_000_000, 7, 2
-OTHER = 0  # the number of the class of other words; words have those after it
+OTHER = 0  # the number of the class of unseen words; words have those after it
 PART_BYTES, FAN = 64 << 20, 32
 FIELDS = "g string, p int, payload binary, kind string"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -76,7 +78,7 @@ class _Local(dict):
         return n
 
 
-def _groups(parts: int, group_tokens: int, keep_words: bool):
+def _groups(parts: int, group_tokens: int):
     """Pass 1: cut a partition's documents into groups; words become numbers of their group, dealt by hash."""
 
     def flush(name: str, local: _Local, ids: list, docs: list) -> list[tuple]:
@@ -89,7 +91,7 @@ def _groups(parts: int, group_tokens: int, keep_words: bool):
         trained = np.repeat(np.array([not d[1] for d in docs]), [d[2] for d in docs])
         counts = np.bincount(stream[trained], minlength=len(words))
         ordered = [words[k] for k in order]
-        out = [(name, -1, pack((docs, ints(stream), b"\n".join(ordered) if keep_words else b"")), "docs")]
+        out = [(name, -1, pack((docs, ints(stream))), "docs")]
         edges = np.searchsorted(at[order], np.arange(parts + 1))
         for p in range(parts):
             a, b = int(edges[p]), int(edges[p + 1])
@@ -116,55 +118,46 @@ def _groups(parts: int, group_tokens: int, keep_words: bool):
     return run
 
 
-def _sum_words(vocabulary: int | None):
-    """Pass 2, by p: words get numbers; these and the counts of all groups in each group's order; totals and the commonest words."""
+def _sum_words(key, batches):
+    """Pass 2, by p: words get numbers; these and the counts of all groups in each group's order; totals and counts of counts."""
+    sent, index = [], _Local()
+    for b in batches:
+        for g, payload in zip(b.column("g").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            words, counts = unpack(payload)
+            words = words.split(b"\n")
+            sent.append((g, np.fromiter(map(index.__getitem__, words), np.uint32, len(words)), from_ints(counts).astype(np.uint32)))
+    p = key[0].as_py()
+    total = np.zeros(len(index), np.int64)
+    for _, own, counts in sent:
+        total[own] += counts
+    for g, own, _ in sent:
+        yield _batch([(g, p, pack((ints(own), ints(total[own]))), "counts")])
+    end = index.get(b"")
+    yield _batch([("", p, pack((int(total.sum()), int((total > 0).sum()), counts_of_counts(total), {p: len(index)}, None if end is None else (p, end))), "unigrams")])
 
-    def run(key, batches):
-        sent, index = [], _Local()
-        for b in batches:
-            for g, payload in zip(b.column("g").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                words, counts = unpack(payload)
-                words = words.split(b"\n")
-                sent.append((g, np.fromiter(map(index.__getitem__, words), np.uint32, len(words)), from_ints(counts).astype(np.uint32)))
-        p = key[0].as_py()
-        total = np.zeros(len(index), np.int64)
-        for _, own, counts in sent:
-            total[own] += counts
-        for g, own, _ in sent:
-            yield _batch([(g, p, pack((ints(own), ints(total[own]))), "counts")])
-        end = index.get(b"")
-        top = []
-        if vocabulary is not None:
-            top = sorted(((w, c) for w, c in zip(index, total.tolist(), strict=True) if c and w), key=lambda x: (-x[1], x[0]))[:vocabulary]
-        ends = 0 if end is None else int(total[end])
-        yield _batch([("", p, pack((int(total.sum()), int((total > 0).sum()), ends, {p: len(index)}, None if end is None else (p, end), top)), "unigrams")])
 
-    return run
+def counts_of_counts(total: np.ndarray) -> list[int]:
+    return [int((total == k).sum()) for k in range(1, DISCOUNTED + 2)]
 
 
 class _Group:
     """A group with the sums of its words. Words are numbered as in its stream; the class of other words is the number after."""
 
     def __init__(self, docs_row: bytes, answers: dict[int, bytes], held):
-        self.docs, stream, words = unpack(docs_row)
+        self.docs, stream = unpack(docs_row)
         self.stream = from_ints(stream).astype(np.int32)
-        offsets, end, last, self.n, self.v, other_n, self.other_v, n_classes = held
+        offsets, end, self.n, self.v, self.d1, unseen = held
         own = {p: [from_ints(x) for x in unpack(answers[p])] for p in sorted(answers)}
         self.count = np.concatenate([c for _, c in own.values()])
         ids = np.concatenate([k + offsets[p] for p, (k, _) in own.items()])
-        self.other_n = other_n
-        mine = self.count > 0
-        if last is not None:
-            tied = np.fromiter((w <= last[1] for w in words.split(b"\n")), bool, len(ids))
-            mine &= (self.count > last[0]) | (self.count == last[0]) & tied
-        self.mine = mine | (ids == end)
-        # Contexts in the order of their parts, other words last, in a part of their own.
+        self.mine = (self.count > 0) | (ids == end)
+        # Contexts in the order of their parts, unseen words last.
         self.parts = {p: (k, self.mine[a : a + len(k)]) for (p, (k, _)), a in zip(own.items(), np.cumsum([0, *[len(k) for k, _ in own.values()]])[:-1].tolist(), strict=True)}
         other = len(ids)
         self.class_of = np.where(self.mine, np.arange(other), other).astype(np.int32)
         self.ids = np.append(ids, OTHER).astype(np.uint64)
-        self.class_count = np.append(np.where(self.mine, self.count, 0), other_n)
-        self.p1 = (self.class_count + 1) / (self.n + n_classes)
+        self.class_count = np.append(np.where(self.mine, self.count, 0), 0)
+        self.p1 = word_shares(self.class_count, self.n, self.d1, unseen)
         self.starts = np.concatenate(([0], np.cumsum([d[2] for d in self.docs])[:-1])).astype(np.int64)
         self.end = int(np.flatnonzero(ids == end)[0])
 
@@ -244,7 +237,7 @@ def _sum_bigrams(key, batches):
     for g, n in zip(names, sizes, strict=True):
         yield _batch([(g, p, pack(ints(2 * total[back[at : at + n]] + owned[at : at + n])), "totals")])
         at += n
-    yield _batch([("", p, pack([int((total == k).sum()) for k in range(1, DISCOUNTED + 2)]), "seen")])
+    yield _batch([("", p, pack(counts_of_counts(total)), "seen")])
 
 
 def _merge_seen(key, batches):
@@ -253,7 +246,7 @@ def _merge_seen(key, batches):
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """d(1)..d(5) of Katz from the counts of counts n(1)..n(6); where they don't give 0 < d < 1, half a count is taken off."""
+    """d(1)..d(5) of an order from the counts of counts n(1)..n(6); where they don't give 0 < d < 1, half a count is taken off."""
     k = DISCOUNTED
     out = np.array([(r - 0.5) / r for r in range(1, k + 1)])
     if n[0] > 0:
@@ -266,10 +259,38 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def backoff(few: np.ndarray, c: np.ndarray, p1: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The scale of seen bigrams' shares and alpha(u), from the sums by context: bigrams seen 1..5 times, c(u), P of the seen."""
+def factors(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The discounted share of each count that is kept."""
+    return np.concatenate(([0.0], d, [1.0]))[np.minimum(c, DISCOUNTED + 1)]
+
+
+def word_shares(c: np.ndarray, n: int, d: np.ndarray, unseen: float) -> np.ndarray:
+    """The shares of words by their counts; those that weren't seen are one class with `unseen` in all."""
+    if not n:
+        return np.full(len(c), 0.5)  # nothing but the end of a text and unseen words
+    return np.where(c > 0, factors(c, d) * c / n * (1 - unseen_scale(n, d, unseen)), unseen)
+
+
+def unseen_share(n: int, seen: list[int], d: np.ndarray) -> float:
+    """What discounts leave of the words' shares, 1 / (N + 1) at least."""
+    left = sum((1 - d[r - 1]) * r * seen[r - 1] for r in range(1, DISCOUNTED + 1)) / max(n, 1)
+    return max(float(left), 1 / (n + 1))
+
+
+def unseen_scale(n: int, d: np.ndarray, unseen: float) -> float:
+    """How much the seen words give up beyond their discounts, as a share: only where these leave less than 1 / (N + 1)."""
+    return unseen if unseen == 1 / (n + 1) else 0.0
+
+
+SUMS = 2 * DISCOUNTED + 1
+
+
+def backoff(sums: np.ndarray, c: np.ndarray, n: int, d: np.ndarray, d1: np.ndarray, unseen: float) -> tuple[np.ndarray, np.ndarray]:
+    """The scale of seen bigrams' shares and alpha(u), from the sums by context: how many bigrams were seen 1..5 times, of how many
+    the word was seen 1..5 times in all, and the counts of the other words."""
     r = np.arange(1, DISCOUNTED + 1)[:, None]
-    mass = np.where(c > 0, (c - ((1 - d)[:, None] * r * few).sum(axis=0)) / np.maximum(c, 1), 0.0)
+    mass = np.where(c > 0, (c - ((1 - d)[:, None] * r * sums[:DISCOUNTED]).sum(axis=0)) / np.maximum(c, 1), 0.0)
+    p1 = ((d1[:, None] * r * sums[DISCOUNTED : 2 * DISCOUNTED]).sum(axis=0) + sums[2 * DISCOUNTED]) / max(n, 1) * (1 - unseen_scale(n, d1, unseen))
     rest = 1 - p1
     most = np.where(rest > 1e-9, 1 - 1 / (c + 1), 1.0)
     scale = np.where((mass > most) | (rest <= 1e-9), most / np.maximum(mass, 1e-300), 1.0)
@@ -293,26 +314,24 @@ def _contexts(held, discount: np.ndarray, parts: int):
         total[order] = np.concatenate([from_ints(unpack(answers["totals"][p])) for p in sorted(answers["totals"])])
         owned = (total % 2 == 1) & (total > 1)
         total //= 2
-        size = len(group.ids)
-        sums = [np.bincount(u[owned & (total == r)], minlength=size) for r in range(1, DISCOUNTED + 1)]
-        sums.append(np.bincount(u[owned], weights=group.class_count[w[owned]] + 1.0, minlength=size).astype(np.int64))
+        size, few = len(group.ids), range(1, DISCOUNTED + 1)
+        uo, wo, to = u[owned], group.class_count[w[owned]], total[owned]
+        sums = [np.bincount(uo[to == r], minlength=size) for r in few] + [np.bincount(uo[wo == r], minlength=size) for r in few]
+        sums.append(np.bincount(uo, weights=np.where(wo > DISCOUNTED, wo, 0), minlength=size).astype(np.int64))
         at = 0
         for p, (own, mine) in group.parts.items():
             x = np.flatnonzero(mine) + at
             at += len(own)
             if len(x):
                 yield _batch([(g, p, pack((ints(own[mine]), ints(group.class_count[x]), *[ints(v[x]) for v in sums])), "contexts")])
-        x = np.array([size - 1])
-        yield _batch([(g, parts, pack((ints(x * 0), ints(group.class_count[x]), *[ints(v[x]) for v in sums])), "contexts")])
 
-        factor = np.concatenate(([0.0], discount, [1.0]))[np.minimum(total, DISCOUNTED + 1)]
         seen = total > 0
-        logs = np.log10(np.where(seen, factor * total / np.maximum(group.class_count[u], 1), group.p1[w]))
-        at_context = np.cumsum(np.append(group.mine, True)) - 1
+        logs = np.log10(np.where(seen, factors(total, discount) * total / np.maximum(group.class_count[u], 1), group.p1[w]))
+        # unseen words as contexts come last and weigh one
+        at_context = np.where(np.append(group.mine, True), np.cumsum(np.append(group.mine, True)) - 1, 0)
         weights = at_context[u] * 2 + seen
         count, n, v = group.count, group.n, group.v
-        within = np.where(group.mine, 0.0, np.log10((count + 1) / (group.other_n + group.other_v + 1)))
-        part = group.sums(logs[back]) + group.sums(within[group.stream])
+        part = group.sums(logs[back])
         base = group.sums(np.log10((count + 1) / (n + v + 1))[group.stream])
         known = group.sums((count > 0).astype(np.int64)[group.stream])
         rows = [(d[0], d[1], d[2], int(k), float(s), float(x)) for d, k, s, x in zip(group.docs, known, base, part, strict=True)]
@@ -321,38 +340,33 @@ def _contexts(held, discount: np.ndarray, parts: int):
     return run
 
 
-def _weights(n: int, n_classes: int, d: np.ndarray):
-    """Pass 6, by p: the contexts' sums become weights, sent back in each group's order."""
-
-    def run(key, batches):
-        sent = []
-        for b in batches:
-            for g, payload in zip(b.column("g").to_pylist(), b.column("payload").to_pylist(), strict=True):
-                sent.append((g, [from_ints(x) for x in unpack(payload)]))
-        sums = np.zeros((DISCOUNTED + 1, 1 + max(int(x[0].max()) for _, x in sent)), np.int64)
-        c = np.zeros(sums.shape[1], np.int64)
-        for _, (own, count, *more) in sent:
-            c[own] = count
-            for k, x in enumerate(more):
-                sums[k, own] += x
-        scale, alpha = backoff(sums[:DISCOUNTED], c, sums[DISCOUNTED] / (n + n_classes), d)
-        for g, x in sent:
-            yield _batch([(g, key[0].as_py(), pack((scale[x[0]].tobytes(), alpha[x[0]].tobytes())), "weights")])
-
-    return run
+def _sum_contexts(key, batches):
+    """Pass 6, by p: the contexts' sums over all groups, sent back in each group's order with the contexts' counts."""
+    sent = []
+    for b in batches:
+        for g, payload in zip(b.column("g").to_pylist(), b.column("payload").to_pylist(), strict=True):
+            sent.append((g, [from_ints(x) for x in unpack(payload)]))
+    total = np.zeros((SUMS + 1, 1 + max(int(x[0].max()) for _, x in sent)), np.int64)
+    for _, (own, count, *more) in sent:
+        total[SUMS, own] = count
+        for k, x in enumerate(more):
+            total[k, own] += x
+    for g, x in sent:
+        yield _batch([(g, key[0].as_py(), pack([ints(total[k, x[0]]) for k in range(SUMS + 1)]), "sums")])
 
 
-def _score(train_tokens: int):
-    """Pass 7, by group."""
+def _score(train_tokens: int, d: np.ndarray, d1: np.ndarray, unseen: float):
+    """Pass 7, by group: weights from the sums, and with them the scores."""
 
     def run(key, left, right):
         docs_row = [x for b in left for x in b.column("payload").to_pylist()]
         if not docs_row:
             return
         rows, at = unpack(docs_row[0])
-        answers = _split(right)["weights"]
-        found = [unpack(answers[p]) for p in sorted(answers)]
-        scale, alpha = (np.frombuffer(b"".join(x[k] for x in found)) for k in (0, 1))
+        answers = _split(right).get("sums", {})
+        found = [[from_ints(x) for x in unpack(answers[p])] for p in sorted(answers)]
+        total = np.stack([np.concatenate([*[x[k] for x in found], [0]]) for k in range(SUMS + 1)])
+        scale, alpha = backoff(total[:SUMS], total[SUMS], train_tokens, d, d1, unseen)
         logs = np.log10(np.stack([alpha, scale], axis=1)).ravel()[from_ints(at)]
         starts = np.concatenate(([0], np.cumsum([r[2] for r in rows])[:-1])).astype(np.int64)
         score = np.add.reduceat(logs, starts) + np.array([r[5] for r in rows])
@@ -371,8 +385,8 @@ def _store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: int | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
-    """One row per row of docs, with the columns of SCORES. vocabulary: how many words are classes of their own, all if None."""
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """One row per row of docs, with the columns of SCORES."""
     spark = docs.sparkSession
     parts = _parts(docs)
     ident = F.col(doc_id).cast("long")
@@ -380,29 +394,24 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     few = small_batches(docs).select(ident.alias("doc_id"), F.col(text).cast("string").alias("text"), held_out.alias("held_out"))
     of = lambda t, kind: t.where(F.col("kind") == kind)
 
-    one = _store(few.mapInArrow(_groups(parts, group_tokens, vocabulary is not None), FIELDS), "lm-groups")
-    two = _store(of(one, "words").groupBy("p").applyInArrow(by_group(_sum_words(vocabulary), FIELDS), FIELDS), "lm-words")
-    found = [unpack(r.payload) for r in _tree(of(two, "unigrams"), parts, _merge_unigrams(vocabulary)).collect()]  # one row
-    n, v, ends, sizes, end, top = found[0] if found else (0, 0, 0, {}, (0, 0), [])
+    one = _store(few.mapInArrow(_groups(parts, group_tokens), FIELDS), "lm-groups")
+    two = _store(of(one, "words").groupBy("p").applyInArrow(by_group(_sum_words, FIELDS), FIELDS), "lm-words")
+    found = [unpack(r.payload) for r in _tree(of(two, "unigrams"), parts, _merge_unigrams).collect()]  # one row
+    n, v, few_words, sizes, end = found[0] if found else (0, 0, [0] * (DISCOUNTED + 1), {}, (0, 0))
     offsets = OTHER + 1 + np.concatenate(([0], np.cumsum([sizes.get(p, 0) for p in range(parts)])))
-    n_words = v - (ends > 0)
-    last, other_n, other_v = None, 0, 0
-    if vocabulary is not None and vocabulary < n_words:
-        last = (top[-1][1], top[-1][0]) if top else (n + 1, b"")
-        other_n, other_v = n - ends - sum(c for _, c in top), n_words - len(top)
-        n_words = len(top)
-    n_classes = n_words + 2
-    held = spark.sparkContext.broadcast((offsets, int(offsets[end[0]]) + end[1], last, n, v, other_n, other_v, n_classes))
+    d1 = discounts(np.array(few_words, float))
+    unseen = unseen_share(n, few_words, d1)
+    held = spark.sparkContext.broadcast((offsets, int(offsets[end[0]]) + end[1], n, v, d1, unseen))
 
     docs_of = of(one, "docs").groupBy("g")
-    three = _store(docs_of.cogroup(of(two, "counts").groupBy("g")).applyInArrow(by_group(_bigrams(held, parts), FIELDS), FIELDS), "lm-bigrams")
-    four = _store(of(three, "bigrams").groupBy("p").applyInArrow(by_group(_sum_bigrams, FIELDS), FIELDS), "lm-counts")
+    three = docs_of.cogroup(of(two, "counts").groupBy("g")).applyInArrow(by_group(_bigrams(held, parts), FIELDS), FIELDS)
+    four = _store(three.groupBy("p").applyInArrow(by_group(_sum_bigrams, FIELDS), FIELDS), "lm-counts")
     seen = [unpack(r.payload) for r in _tree(of(four, "seen"), parts, _merge_seen).collect()]  # one row
     d = discounts(np.array(seen[0] if seen else [0] * (DISCOUNTED + 1), float))
     both = of(two, "counts").unionByName(of(four, "totals"))
     five = _store(docs_of.cogroup(both.groupBy("g")).applyInArrow(by_group(_contexts(held, d, parts), FIELDS), FIELDS), "lm-contexts")
-    six = of(five, "contexts").groupBy("p").applyInArrow(by_group(_weights(n, n_classes, d), FIELDS), FIELDS)
-    return of(five, "docs").groupBy("g").cogroup(six.groupBy("g")).applyInArrow(by_group(_score(int(n)), SCORES), SCORES)
+    six = of(five, "contexts").groupBy("p").applyInArrow(by_group(_sum_contexts, FIELDS), FIELDS)
+    return of(five, "docs").groupBy("g").cogroup(six.groupBy("g")).applyInArrow(by_group(_score(int(n), d, d1, unseen), SCORES), SCORES)
 
 
 def _parts(docs: DataFrame) -> int:
@@ -421,19 +430,14 @@ def _tree(rows: DataFrame, parts: int, merge) -> DataFrame:
     return rows
 
 
-def _merge_unigrams(vocabulary: int | None):
-    def merge(key, batches):
-        n = v = ends = 0
-        sizes, end, top = {}, None, []
-        for b in batches:
-            for payload in b.column("payload").to_pylist():
-                a, t, e, size, at, words = unpack(payload)
-                n, v, ends, end = n + a, v + t, ends + e, at or end
-                sizes |= size
-                top = sorted([*top, *words], key=lambda x: (-x[1], x[0]))[:vocabulary]
-        yield _batch([(key[0].as_py(), key[1].as_py(), pack((n, v, ends, sizes, end, top)), "unigrams")])
-
-    return merge
+def _merge_unigrams(key, batches):
+    n, v, few, sizes, end = 0, 0, [0] * (DISCOUNTED + 1), {}, None
+    for b in batches:
+        for payload in b.column("payload").to_pylist():
+            a, t, f, size, at = unpack(payload)
+            n, v, few, end = n + a, v + t, [x + y for x, y in zip(few, f, strict=True)], at or end
+            sizes |= size
+    yield _batch([(key[0].as_py(), key[1].as_py(), pack((n, v, few, sizes, end)), "unigrams")])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

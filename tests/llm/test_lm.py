@@ -14,27 +14,30 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[A-Z]", lambda m: m[0].lower(), text or "")) + [""]
 
 
-def brute(rows, vocabulary):
+def brute(rows):
     """Katz by its definition, in plain Python."""
     held = {k: zlib.crc32(str(k).encode() if k is not None else b"") % 7 == 2 for k, _ in rows}
     train = [tokens(t) for k, t in rows if not held[k]]
     c = Counter(w for d in train for w in d)
     n, v = sum(c.values()), len(c)
-    top = sorted((w for w in c if w), key=lambda w: (-c[w], w.encode()))[:vocabulary]
-    of = lambda w: w if w in top or w == "" else None
-    cc = Counter(of(w) for d in train for w in d)
-    classes = [*top, "", None]
-    p1 = {x: (cc[x] + 1) / (n + len(classes)) for x in classes}
+    of = lambda w: w if w in c or w == "" else None
+    classes = [*{*c, ""}, None]
+    good_turing = lambda counts: lm.discounts(np.array([list(counts).count(r) for r in range(1, 7)], float))
+    d1 = good_turing(c.values())
+    p1 = {w: (d1[x - 1] if x <= 5 else 1) * x / n for w, x in c.items()} if n else {"": 0.5}
+    left = 1 - sum(p1.values())
+    if n and left < 1 / (n + 1):
+        p1 = {w: x * (1 - 1 / (n + 1)) for w, x in p1.items()}
+    p1[None] = 1 - sum(p1.values())
     pairs = Counter((of(a), of(b)) for d in train for a, b in zip(["", *d], d, strict=False))
-    nr = Counter(pairs.values())
-    d = lm.discounts(np.array([nr[r] for r in range(1, 7)], float))
+    d2 = good_turing(pairs.values())
     probs = {}
 
     def context(u):
         if u not in probs:
             seen = {b: x for (a, b), x in pairs.items() if a == u}
             cu = sum(seen.values())
-            got = {b: (d[x - 1] if x <= 5 else 1) * x / cu for b, x in seen.items()}
+            got = {b: (d2[x - 1] if x <= 5 else 1) * x / cu for b, x in seen.items()}
             mass, rest = sum(got.values()), 1 - sum(p1[b] for b in seen)
             if cu:
                 most = 1 - 1 / (cu + 1) if rest > 1e-9 else 1.0
@@ -45,32 +48,39 @@ def brute(rows, vocabulary):
             assert sum(probs[u].values()) == pytest.approx(1, abs=1e-9)
         return probs[u]
 
-    other_n = n - cc[""] - sum(c[w] for w in top)
-    other_v = v - ("" in c) - len(top)
     out = []
     for k, t in rows:
         d_ = tokens(t)
         base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in d_)
-        score = sum(math.log10(context(of(a))[of(b)]) for a, b in zip(["", *d_], d_, strict=False)) + sum(math.log10((c[w] + 1) / (other_n + other_v + 1)) for w in d_ if of(w) is None)
+        score = sum(math.log10(context(of(a))[of(b)]) for a, b in zip(["", *d_], d_, strict=False))
         out.append((k if k is not None else -1, held[k], len(d_), sum(c[w] > 0 for w in d_), n, base, score))
     return sorted(out)
 
 
-@pytest.mark.parametrize(("vocabulary", "group"), [(4, 50), (6, 3_000_000), (10_000, 400)])
-def test_matches_brute_force(spark, vocabulary, group):
-    r = rng(17)
-    rare = [f"w{k}" for k in range(200)]
-    rows = [(k, " ".join(words(r, r.randrange(60)) + words(r, r.randrange(6), rare))) for k in range(60)]
-    rows += [(100, None), (101, ""), (102, "Ünknown ZZZ qqq"), (3, rows[3][1]), (None, "the of and")]
-    got = lm.score_documents(documents(spark, rows), vocabulary=vocabulary, group_tokens=group).collect()
-    found = sorted((x.doc_id if x.doc_id is not None else -1, *x[1:]) for x in got)
-    want = brute(rows, vocabulary)
+def matches(got, rows):
+    found, want = sorted((x.doc_id if x.doc_id is not None else -1, *x[1:]) for x in got), brute(rows)
     assert len(found) == len(want)
     for a, b in zip(found, want, strict=True):
         assert a[:5] == b[:5]
         assert a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=1e-6)
 
 
+@pytest.mark.parametrize("group", [50, 400, 3_000_000])
+def test_matches_brute_force(spark, group):
+    r = rng(17)
+    rare = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(words(r, r.randrange(60)) + words(r, r.randrange(6), rare))) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, "Ünknown ZZZ qqq"), (3, rows[3][1]), (None, "the of and"), (None, None), (103, " ".join(words(r, 5000)))]
+    docs = documents(spark, rows).withColumnsRenamed({"lang": "g", "source": "payload", "n_chars": "kind"})
+    matches(lm.score_documents(docs, group_tokens=group).collect(), rows)
+
+
+def test_few_counts_leave_something_to_unseen_words(spark):
+    """With no rare word the discounts leave nothing, and 1 / (N + 1) goes to unseen ones."""
+    rows = [(k, "a b a b a b a b") for k in range(40)] + [(50, "a zzz")]
+    matches(lm.score_documents(documents(spark, rows)).collect(), rows)
+
+
 def test_edges(spark):
     docs = documents(spark, [(1, "a b")])
     assert lm.score_documents(docs.limit(0)).count() == 0
@@ -85,11 +95,6 @@ def test_better_than_base_on_held_out(spark, sf):
 
 
 def test_all_words_are_classes(spark):
-    r = rng(19)
-    rows = [(k, " ".join(words(r, r.randrange(60)))) for k in range(60)] + [(100, None), (102, "Ünknown ZZZ qqq")]
-    found = sorted((x.doc_id, *x[1:]) for x in lm.score_documents(documents(spark, rows), group_tokens=50).collect())
-    for a, b in zip(found, brute(rows, 10**9), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
     # Past any fixed rank: 70,000 commoner words, and rare ones whose bigrams count all the same.
     held = [k for k in range(2000) if zlib.crc32(str(k).encode()) % 7 == 2]
     trained = [k for k in range(2000) if k not in held]
