@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What is redacted, and by what, in this order.
@@ -43,6 +43,15 @@ def token_embedding(text: Column, dimensions: int) -> Column:
     return F.transform(F.array(pair), lambda p: F.transform(p["v"], lambda x: F.when(p["n"] == 0, F.lit(0.0)).otherwise(x / p["n"])))[0]
 
 
+def embedding_slots(df: DataFrame, key: str, text: str, dimensions: int) -> DataFrame:
+    """key, slot, value of the unit vectors of token_embedding where they aren't 0: rows of tokens instead of arrays, so that each
+    token is hashed and counted once. Keys are distinct."""
+    tokens = df.select(key, F.explode(tokenize(F.col(text))).alias("token"))
+    counts = tokens.groupBy(key, F.pmod(java_hash(F.col("token")), F.lit(dimensions)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))  # at most `dimensions` rows
+    return counts.select(key, "slot", (F.col("n") / norm).alias("value"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Over the shorter length; 0 if either part is all zeros."""
     n = F.least(F.size(a), F.size(b))

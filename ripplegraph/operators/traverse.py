@@ -66,12 +66,11 @@ def search(edges: DataFrame, seeds: DataFrame, max_depth: int, limit: int = DEFA
             out = step.where(emit(F.element_at("ids", -1)))
         else:
             out = step
+        # a plain limit on the rank lets Spark cut each group before it is dealt and sorted
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("ords"))).where(F.col("rank") <= limit)
         if counts is not None:
-            out = out.join(counts, "seed", "left").withColumn("had", F.coalesce("had", F.lit(0)))
-        else:
-            out = out.withColumn("had", F.lit(0).cast("long"))
-        rank = F.row_number().over(Window.partitionBy("seed").orderBy("ords")) + F.col("had")
-        out = cut(out.withColumn("rank", rank).where(F.col("rank") <= limit).drop("had"), "paths")
+            out = out.join(counts, "seed", "left").withColumn("rank", F.col("rank") + F.coalesce("had", F.lit(0))).where(F.col("rank") <= limit).drop("had")
+        out = cut(out, "paths")
         found = out if found is None else found.unionByName(out)
         if depth == max_depth:
             break

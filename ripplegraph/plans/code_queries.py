@@ -56,9 +56,12 @@ def _(spark, sf_dir):
     return sqlscan.accesses(statements(spark, sf_dir)).where("column_name is not null").select("statement", "table_name", "column_name", "access")
 
 
-@query("sql_normalized", f"SELECT p_partkey, 'SELECT a.name, a.size FROM ' || {_TYPE} || ' a LEFT JOIN stock s ON s.part = a.id WHERE a.brand = ?' AS sql FROM part WHERE p_partkey % 4 = 0")
+@query(
+    "sql_normalized",
+    f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'SELECT a.name, a.size FROM ' || {_TYPE} || ' a LEFT JOIN stock s ON s.part = a.id WHERE a.brand = ?' WHEN 1 THEN 'INSERT INTO ' || {_TYPE} || ' (name, size) VALUES (?, ?)' WHEN 2 THEN 'UPDATE ' || {_TYPE} || ' SET name = ?, size = ? WHERE brand = ?' ELSE 'DELETE FROM ' || {_TYPE} || ' WHERE brand IN (SELECT brand FROM gone)' END AS sql FROM part",
+)
 def _(spark, sf_dir):
-    return statements(spark, sf_dir).where("p_partkey % 4 = 0").select("p_partkey", sqlscan.normalized(F.col("sql")).alias("sql"))
+    return statements(spark, sf_dir).select("p_partkey", sqlscan.normalized(F.col("sql")).alias("sql"))
 
 
 @query("sql_facts", f"SELECT CASE access WHEN 'READ' THEN 'READS_TABLE' ELSE 'WRITES_TABLE' END AS relation_type, 'db-table://shop/mainDs/public/' || table_name AS target_identity_id, count(*) AS n FROM ({_TABLE_ROWS}) GROUP BY 1, 2 UNION ALL SELECT CASE access WHEN 'READ' THEN 'READS_COLUMN' ELSE 'WRITES_COLUMN' END, 'db-column://shop/mainDs/public/' || table_name || '#' || column_name, count(*) FROM ({_COLUMN_ROWS}) GROUP BY 1, 2")
@@ -162,20 +165,32 @@ def _(spark, sf_dir):
     return workspace.boundaries(files(spark, sf_dir)).select("path", "boundary")
 
 
-@query("project_status")
+_REVIEW = (
+    f"{_E}, w AS (SELECT *, ends_with(path, '/pom.xml') AS pom, 'm' || (p_partkey % 7) || CASE WHEN p_partkey % 3 = 1 AND e <> '.jar' THEN '/lib' ELSE '' END AS root FROM l),"
+    " lay AS (SELECT root, bool_or(pom) AS maven, bool_or(contains(path, '/src/main/java/')) AS src, bool_or(contains(path, '/WebRoot/')) AS web, bool_or(e = '.jar') AS code FROM w WHERE level <> 'L5_SKIPPED' AND (e = '.jar' OR pom OR level = 'L3_BOUNDARY' OR p_partkey % 3 <> 1) GROUP BY 1),"
+    " own AS (SELECT w.*, coalesce(i.root, o.root) AS holder FROM w LEFT JOIN lay i ON p_partkey % 3 = 1 AND i.root = 'm' || (p_partkey % 7) || '/lib' LEFT JOIN lay o ON o.root = 'm' || (p_partkey % 7)),"
+    " n AS (SELECT holder AS root, count(*) FILTER (pom OR (e = '.jsp' AND level <> 'L5_SKIPPED')) AS n_clues, count(*) FILTER (e = '.jsp' AND level <> 'L5_SKIPPED') AS pages, count(*) FILTER (e IN ('.c', '.cbl') AND level <> 'L5_SKIPPED') AS n_boundaries FROM own GROUP BY 1),"
+    " status AS (SELECT root, CASE WHEN maven THEN 'MAVEN' WHEN src THEN 'SOURCE_ONLY' ELSE 'UNKNOWN_LEGACY' END AS layout_type, CASE WHEN src OR code THEN 'READY' WHEN web OR pages > 0 OR maven OR n_clues > 0 THEN 'PARTIAL' WHEN n_boundaries > 0 THEN 'BOUNDARY_ONLY' ELSE 'UNKNOWN' END AS status, n_clues, n_boundaries, CASE WHEN src THEN root || '/src/main/java' ELSE '' END AS source_roots, CASE WHEN web THEN root || '/WebRoot' ELSE '' END AS web_roots FROM lay JOIN n USING (root))"
+)
+
+
+@query("project_status", f"WITH {_REVIEW} SELECT * FROM status")
 def _(spark, sf_dir):
     return workspace.review(files(spark, sf_dir)).select("root", "layout_type", "status", "n_clues", "n_boundaries", F.array_join("source_roots", ",").alias("source_roots"), F.array_join("web_roots", ",").alias("web_roots"))
 
 
-@query("scope_decisions")
+@query(
+    "scope_decisions",
+    f"WITH {_REVIEW} SELECT root, CASE WHEN root = 'm1' THEN 'EXCLUDED' WHEN root = 'm2' THEN 'SHARED_LIBRARY' WHEN status = 'READY' THEN 'INCLUDED' WHEN status IN ('BOUNDARY_ONLY', 'UNKNOWN') THEN 'UNANALYZABLE' ELSE 'DEGRADED' END AS disposition, CASE WHEN root = 'm1' THEN 'user excluded project' WHEN root = 'm2' THEN 'project marked as shared library' WHEN status = 'READY' THEN 'project selected for analysis' ELSE status END AS reason FROM status UNION ALL SELECT 'elsewhere', 'SHARED_LIBRARY', 'external shared library'",
+)
 def _(spark, sf_dir):
     return workspace.decide_scopes(workspace.review(files(spark, sf_dir)), exclude=["m1"], shared=["m2", "elsewhere"])
 
 
-@query("import_gate", f"WITH {_E} SELECT 'WARNING' AS severity, 'FILE_TOO_LARGE' AS code, path FROM l WHERE level = 'L5_SKIPPED' AND size > 20971520")
+@query("import_gate", f"WITH {_REVIEW} SELECT 'WARNING' AS severity, 'FILE_TOO_LARGE' AS code, path FROM l WHERE level = 'L5_SKIPPED' AND size > 20971520 UNION ALL SELECT 'WARNING', 'LEGACY_JAVA_LAYOUT', root FROM status WHERE status = 'READY' AND layout_type = 'SOURCE_ONLY'")
 def _(spark, sf_dir):
     f = files(spark, sf_dir)
-    return workspace.gate(f, workspace.review(f), True).where("code <> 'LEGACY_JAVA_LAYOUT'")
+    return workspace.gate(f, workspace.review(f), True)
 
 
 _SCOPES = "s AS (SELECT 'm' || m AS root, a AS analyzer FROM range(7) t(m), (VALUES ('java-source'), ('java-bytecode'), ('jsp-web')) v(a))"

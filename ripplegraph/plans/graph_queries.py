@@ -9,8 +9,8 @@ from ripplegraph.functions import ids, registry
 from ripplegraph.operators import impact, traverse
 from ripplegraph.plans.registered import query
 from ripplegraph.sources import sinks, store
-from ripplegraph.sources.lineage import cut
-from ripplegraph.sources.starfacts import facts_sql, star_facts
+from ripplegraph.sources.lineage import cut, fresh_path
+from ripplegraph.sources.starfacts import TABLES, facts_sql, star_facts
 
 SNAP, OTHER = "snap-1", "snap-2"
 BASE = "shop/_root/src/main/java/com.shop."
@@ -66,8 +66,27 @@ def shown(paths: DataFrame) -> DataFrame:
     return paths.select("seed", traverse.emitted_key(F.col("ids")).alias("path"), "depth", F.col("rank").cast("int").alias("rank"), "truncated")
 
 
+_stores: dict[tuple, store.FactStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of a table folder, from a store that is written once for as long as the tables' files stay as they are.
+
+    Within a snapshot they are sorted by relation and target, so predicates on these prune row groups.
+    """
+    at = lambda t: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    stamps = tuple((x.getModificationTime(), x.getLen()) for x in (at(t).getFileSystem(conf).getFileStatus(at(t)) for t in TABLES))
+    key = (spark.sparkContext.applicationId, sf_dir, stamps)
+    if key not in _stores:
+        made = store.FactStore(spark, fresh_path(spark, "facts"))
+        made.append(star_facts(spark, sf_dir).sortWithinPartitions("project_id", "snapshot_id", "relation_type", "target_identity_id"))
+        _stores[key] = made
+    return _stores[key].facts()
+
+
 def visible(spark: SparkSession, sf_dir: str, snapshot: str = SNAP) -> DataFrame:
-    return store.active_facts(star_facts(spark, sf_dir), "shop", snapshot)
+    return store.active_facts(stored(spark, sf_dir), "shop", snapshot)
 
 
 def pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,27 +111,27 @@ def _(spark, sf_dir):
 
 @query("facts_by_relation", f"WITH {VISIBLE} SELECT {_BRIEF} FROM v WHERE relation_type = 'BINDS_TO'")
 def _(spark, sf_dir):
-    return store.by_relation(star_facts(spark, sf_dir), "shop", SNAP, "BINDS_TO").select(*BRIEF)
+    return store.by_relation(stored(spark, sf_dir), "shop", SNAP, "BINDS_TO").select(*BRIEF)
 
 
 @query("facts_by_source", f"WITH {VISIBLE} SELECT {_BRIEF} FROM v WHERE source_identity_id = '{PARTS[0]}'")
 def _(spark, sf_dir):
-    return store.by_source(star_facts(spark, sf_dir), "shop", SNAP, PARTS[0]).select(*BRIEF)
+    return store.by_source(stored(spark, sf_dir), "shop", SNAP, PARTS[0]).select(*BRIEF)
 
 
 @query("facts_by_target", f"WITH {VISIBLE} SELECT {_BRIEF} FROM v WHERE target_identity_id = '{PARTS[0]}'")
 def _(spark, sf_dir):
-    return store.by_target(star_facts(spark, sf_dir), "shop", SNAP, PARTS[0]).select(*BRIEF)
+    return store.by_target(stored(spark, sf_dir), "shop", SNAP, PARTS[0]).select(*BRIEF)
 
 
 @query("active_fact_count", f"WITH {FACTS} SELECT count(*) AS n FROM facts WHERE {ACTIVE}")
 def _(spark, sf_dir):
-    return store.active_count(star_facts(spark, sf_dir), "shop")
+    return store.active_count(stored(spark, sf_dir), "shop")
 
 
 @query("active_snapshots", f"WITH {FACTS} SELECT snapshot_id, min(fact_ord) AS first_ord FROM facts WHERE {ACTIVE} GROUP BY 1")
 def _(spark, sf_dir):
-    return store.active_snapshots(star_facts(spark, sf_dir), "shop")
+    return store.active_snapshots(stored(spark, sf_dir), "shop")
 
 
 @query("report_scan", f"WITH {VISIBLE} SELECT relation_type, count(*) AS n, min(fact_ord) AS first_ord, max(fact_ord) AS last_ord FROM v GROUP BY 1")
@@ -125,9 +144,9 @@ def _(spark, sf_dir):
     return store.materialized_edges(visible(spark, sf_dir)).drop("evidence_key")
 
 
-@query("stable_batch_order", f"WITH {VISIBLE} SELECT {KEY} AS fact_key, fact_ord FROM v WHERE relation_type IN ('BINDS_TO', 'ROUTES_TO') ORDER BY 1, 2 LIMIT 500")
+@query("stable_batch_order", f"WITH {VISIBLE} SELECT fact_key, fact_ord, row_number() OVER (ORDER BY fact_key, fact_ord) AS place FROM (SELECT {KEY} AS fact_key, fact_ord FROM v)")
 def _(spark, sf_dir):
-    return visible(spark, sf_dir).where("relation_type in ('BINDS_TO', 'ROUTES_TO')").select("fact_key", "fact_ord").orderBy("fact_key", "fact_ord").limit(500)
+    return sinks.placed(visible(spark, sf_dir).select("fact_key", "fact_ord"), ["fact_key", "fact_ord"])
 
 
 @query("facts_page", f"WITH {VISIBLE} SELECT fact_ord, relation_type FROM v ORDER BY fact_ord LIMIT 100 OFFSET 50")
@@ -141,9 +160,30 @@ def _(spark, sf_dir):
     return visible(spark, sf_dir).where(both.contains("/webapp/") | both.contains("/webapp#")).select("fact_ord")
 
 
-@query("fact_errors", f"WITH {FACTS} SELECT fact_ord, '' AS errors FROM facts WHERE schema_version <= 0 OR relation_family IS NULL")
+def broken(facts: DataFrame) -> DataFrame:
+    """Facts of which some break rules."""
+    hit = lambda n, k, c, v: F.when(F.col("fact_ord") % n == k, F.lit(v)).otherwise(F.col(c))
+    changes = [(101, 3, "project_id", "other"), (103, 5, "confidence", "SURE"), (107, 2, "schema_version", 0), (109, 4, "source_type", "AI_ASSISTED"), (113, 6, "evidence_key", " "), (127, 8, "qualifier", "else"), (131, 9, "relation_family", "FLOW"), (137, 1, "priority", -1)]
+    return facts.withColumns({c: hit(n, k, c, v) for n, k, c, v in changes})
+
+
+_BROKEN = [
+    ("key", "fact_ord % 127 = 8 AND qualifier <> 'else'"),
+    ("family", "fact_ord % 131 = 9 AND relation_family <> 'FLOW'"),
+    ("source_project", "fact_ord % 101 = 3"),
+    ("target_project", "fact_ord % 101 = 3"),
+    ("confidence", "fact_ord % 103 = 5"),
+    ("schema_version", "fact_ord % 107 = 2"),
+    ("priority", "fact_ord % 137 = 1"),
+    ("ai_family", "fact_ord % 109 = 4"),
+    ("ai_certain", "fact_ord % 109 = 4 AND confidence = 'CERTAIN' AND fact_ord % 103 <> 5"),
+    ("evidence_key", "fact_ord % 113 = 6"),
+]
+
+
+@query("fact_errors", f"WITH {FACTS} SELECT * FROM (SELECT fact_ord, concat_ws(',', {', '.join(f'CASE WHEN {rule} THEN {name!r} END' for name, rule in _BROKEN)}) AS errors FROM facts) WHERE errors <> ''")
 def _(spark, sf_dir):
-    return store.fact_errors(star_facts(spark, sf_dir)).select("fact_ord", F.array_join("errors", ",").alias("errors"))
+    return store.fact_errors(broken(stored(spark, sf_dir))).select("fact_ord", F.array_join("errors", ",").alias("errors"))
 
 
 # --- ids ---
@@ -151,19 +191,19 @@ def _(spark, sf_dir):
 
 @query("fact_keys", f"WITH {FACTS} SELECT {KEY} AS fact_key, count(*) AS n FROM facts GROUP BY 1")
 def _(spark, sf_dir):
-    return star_facts(spark, sf_dir).groupBy("fact_key").agg(F.count("*").alias("n"))
+    return stored(spark, sf_dir).groupBy("fact_key").agg(F.count("*").alias("n"))
 
 
 @query("evidence_keys", f"WITH {FACTS} SELECT DISTINCT 'evidence:' || substring(sha256(analyzer_id || chr(0) || scope_key || chr(0) || source_identity_id || chr(0) || 'line:1' || chr(0) || '1' || chr(0)), 1, 32) AS evidence_key, analyzer_id, source_identity_id FROM facts")
 def _(spark, sf_dir):
-    return star_facts(spark, sf_dir).select("evidence_key", "analyzer_id", "source_identity_id").distinct()
+    return stored(spark, sf_dir).select("evidence_key", "analyzer_id", "source_identity_id").distinct()
 
 
 _IDS = f"{FACTS}, i AS (SELECT source_identity_id AS id FROM facts UNION SELECT target_identity_id FROM facts)"
 
 
 def all_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = star_facts(spark, sf_dir)
+    f = stored(spark, sf_dir)
     return f.select(F.col("source_identity_id").alias("id")).union(f.select("target_identity_id")).distinct()
 
 
@@ -187,14 +227,38 @@ def _(spark, sf_dir):
     return all_ids(spark, sf_dir).select("id", ids.parse_symbol(F.col("id")).alias("p")).select("id", "p.*")
 
 
-@query("canonical_symbols", f"WITH {_IDS} SELECT id, id AS canonical FROM i")
+_BARE = ("db-table", "api-endpoint", "html-page", "report-definition")
+_IS_BARE = " OR ".join(f"starts_with(id, '{k}://')" for k in _BARE)
+
+
+@query("canonical_symbols", f"WITH {_IDS} SELECT id, id AS canonical FROM i UNION ALL SELECT id || '#', id FROM i WHERE {_IS_BARE}")
 def _(spark, sf_dir):
-    return all_ids(spark, sf_dir).select("id", ids.canonical(ids.parse_symbol(F.col("id"))).alias("canonical"))
+    """Ids as they are, and some that end in an empty fragment."""
+    i = all_ids(spark, sf_dir)
+    i = i.unionByName(i.where(ids.has_kind(F.col("id"), _BARE)).select(F.concat("id", F.lit("#")).alias("id")))
+    return i.select("id", ids.canonical(ids.parse_symbol(F.col("id"))).alias("canonical"))
+
+
+#: ways to break a table's id, and the rules it then breaks
+_BREAKS = [
+    ("replace(id, 'db-table://', 'db-tabel://')", "kind"),
+    ("replace(id, '://', ':/')", "scheme,kind,separator"),
+    ("id || '#x'", "fragment"),
+    ("id || chr(9)", "unsafe"),
+    ("replace(id, '/public/', '/../')", "relative"),
+    ("id || '/'", "owner"),
+    ("replace(id, '/public/', ':/')", "root,separator"),
+    ("'db-table://shop/' || split_part(id, '/', 6)", "parts,owner,root"),
+]
 
 
-@query("symbol_validation", f"WITH {_IDS} SELECT id, '' AS errors FROM i")
+@query("symbol_validation", f"WITH {_IDS} SELECT id, '' AS errors FROM i" + "".join(f" UNION ALL SELECT {how}, '{rules}' FROM i WHERE starts_with(id, 'db-table://')" for how, rules in _BREAKS))
 def _(spark, sf_dir):
-    return all_ids(spark, sf_dir).select("id", F.array_join(ids.symbol_errors(F.col("id")), ",").alias("errors"))
+    i = all_ids(spark, sf_dir)
+    tables = i.where(ids.has_kind(F.col("id"), ("db-table",)))
+    for how, _ in _BREAKS:
+        i = i.unionByName(tables.select(F.expr(how).alias("id")))
+    return i.select("id", F.array_join(ids.symbol_errors(F.col("id")), ",").alias("errors"))
 
 
 @query("table_of_column", f"WITH {_IDS} SELECT id, CASE WHEN starts_with(id, 'db-column://') THEN 'db-table://' || regexp_replace(substring(id, 13), '#[^#]*$', '') ELSE id END AS table_id FROM i WHERE starts_with(id, 'db-')")
@@ -328,7 +392,10 @@ def _(spark, sf_dir):
     return found["paths"].select(F.array_join("ids", ">").alias("path"), "first_ord").crossJoin(found["fallback"])
 
 
-@query("affected_report_facts", f"WITH {VISIBLE}, {_HITS}, {_REPORTS} SELECT fact_ord, relation_type, source_identity_id, target_identity_id FROM v WHERE source_identity_id IN (SELECT target_identity_id FROM r) OR target_identity_id IN (SELECT target_identity_id FROM r)")
+_ENDS = "t AS MATERIALIZED (SELECT DISTINCT target_identity_id AS id FROM r), x AS (SELECT fact_ord FROM v SEMI JOIN t ON source_identity_id = t.id UNION SELECT fact_ord FROM v SEMI JOIN t ON target_identity_id = t.id)"
+
+
+@query("affected_report_facts", f"WITH {VISIBLE}, {_HITS}, {_REPORTS}, {_ENDS} SELECT fact_ord, relation_type, source_identity_id, target_identity_id FROM v JOIN x USING (fact_ord)")
 def _(spark, sf_dir):
     return impact.affected_reports(pinned(spark, sf_dir), COLUMN)["report_facts"].select("fact_ord", "relation_type", "source_identity_id", "target_identity_id")
 
@@ -467,65 +534,77 @@ _COLS = ["fact_ord", "fact_key", "confidence", "active", "tombstone"]
 
 @query("append_facts", f"WITH {FACTS}, {_BATCH} SELECT count(*) AS n, count(DISTINCT fact_ord) AS n_ords, max(fact_ord) AS last_ord FROM (SELECT fact_ord FROM facts UNION ALL SELECT fact_ord + {_LAST} FROM b)")
 def _(spark, sf_dir):
-    f = star_facts(spark, sf_dir)
+    f = stored(spark, sf_dir)
     return store.append(f, batch(f)).agg(F.count("*").alias("n"), F.countDistinct("fact_ord").alias("n_ords"), F.max("fact_ord").alias("last_ord"))
 
 
 @query("upsert_facts", f"WITH {FACTS}, {_BATCH}, k AS (SELECT DISTINCT {KEY} AS k, snapshot_id, analyzer_id FROM b) SELECT {_ROW} FROM facts f WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.k = {KEY} AND k.snapshot_id = f.snapshot_id AND k.analyzer_id = f.analyzer_id) UNION ALL SELECT fact_ord + {_LAST}, {KEY}, confidence, active, tombstone FROM b")
 def _(spark, sf_dir):
-    f = star_facts(spark, sf_dir)
+    f = stored(spark, sf_dir)
     return store.upsert(f, batch(f)).select(*_COLS)
 
 
 _MINE = f"(snapshot_id = '{SNAP}' AND analyzer_id = 'mybatis')"
+#: rows of another analyzer, with keys that the owner holds, and again rows that this analyzer holds
+_FOREIGN = f"o AS (SELECT * FROM facts UNION ALL SELECT * REPLACE (fact_ord + 1000 AS fact_ord, 'other' AS analyzer_id) FROM facts WHERE relation_type = 'BINDS_TO' AND snapshot_id = '{SNAP}' AND fact_ord % 5 < 2), c AS (SELECT * FROM b UNION ALL SELECT * REPLACE ('other' AS analyzer_id) FROM facts WHERE relation_type = 'BINDS_TO' AND snapshot_id = '{SNAP}' AND fact_ord % 5 = 0)"
 
 
 @query(
     "replace_scope_facts",
-    f"WITH {FACTS}, {_BATCH}, k AS (SELECT DISTINCT {KEY} AS k FROM b), m AS (SELECT *, {_MINE} AS mine, {KEY} IN (SELECT k FROM k) AS again FROM facts)"
-    f" SELECT fact_ord, {KEY} AS fact_key, confidence, active, tombstone OR mine AS tombstone FROM m WHERE NOT (mine AND again) UNION ALL SELECT fact_ord + {_LAST}, {KEY}, confidence, active, tombstone FROM b",
+    f"WITH {FACTS}, {_BATCH}, {_FOREIGN}, k AS (SELECT {KEY} AS k, snapshot_id, analyzer_id FROM c), m AS (SELECT *, {KEY} AS key, {KEY} IN (SELECT k FROM k) AS again FROM o)"
+    f" SELECT fact_ord, key AS fact_key, analyzer_id, confidence, active, tombstone OR ({_MINE} AND NOT again) AS tombstone FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.k = m.key AND k.snapshot_id = m.snapshot_id AND k.analyzer_id = m.analyzer_id)"
+    f" UNION ALL SELECT fact_ord + (SELECT max(fact_ord) + 1 FROM o), {KEY}, analyzer_id, confidence, active, tombstone FROM c",
 )
 def _(spark, sf_dir):
-    f = star_facts(spark, sf_dir)
+    f = stored(spark, sf_dir)
+    foreign = f.where(f"relation_type = 'BINDS_TO' and snapshot_id = '{SNAP}'").withColumn("analyzer_id", F.lit("other"))
+    old = f.unionByName(foreign.where("fact_ord % 5 < 2").withColumn("fact_ord", F.col("fact_ord") + 1000))
+    new = batch(f).unionByName(foreign.where("fact_ord % 5 = 0"))
     owner = {"project_id": "shop", "snapshot_id": SNAP, "analyzer_id": "mybatis", "scope_key": "src/main/java"}
-    return store.replace_scope(f, batch(f), owner).select(*_COLS)
+    return store.replace_scope(old, new, owner).select(*_COLS, "analyzer_id")
 
 
 @query("purge_tombstones", f"WITH {FACTS} SELECT snapshot_id, count(*) AS n FROM facts WHERE NOT (snapshot_id = '{SNAP}' AND tombstone) GROUP BY 1")
 def _(spark, sf_dir):
-    return store.purge_tombstones(star_facts(spark, sf_dir), "shop", SNAP).groupBy("snapshot_id").agg(F.count("*").alias("n"))
+    return store.purge_tombstones(stored(spark, sf_dir), "shop", SNAP).groupBy("snapshot_id").agg(F.count("*").alias("n"))
 
 
-@query("delete_project", f"WITH {FACTS} SELECT fact_ord FROM facts WHERE project_id <> 'shop'")
+@query("delete_project", f"WITH {FACTS} SELECT fact_ord FROM facts WHERE fact_ord % 5 = 0")
 def _(spark, sf_dir):
-    return store.delete_project(star_facts(spark, sf_dir), "shop").select("fact_ord")
+    f = stored(spark, sf_dir).withColumn("project_id", F.when(F.col("fact_ord") % 5 == 0, "other").otherwise(F.col("project_id")))
+    return store.delete_project(f, "shop").select("fact_ord")
+
+
+_FACT = "source_identity_id, target_identity_id, relation_type, qualifier"
 
 
 @query(
     "snapshot_diff",
-    f"WITH {FACTS}, s AS (SELECT {KEY} AS fact_key, snapshot_id, min(confidence) AS c FROM facts WHERE {ACTIVE} GROUP BY 1, 2), a AS (SELECT * FROM s WHERE snapshot_id = '{SNAP}'), b AS (SELECT * FROM s WHERE snapshot_id = '{OTHER}')"
-    " SELECT * FROM (SELECT coalesce(a.fact_key, b.fact_key) AS fact_key, CASE WHEN a.fact_key IS NULL THEN 'added' WHEN b.fact_key IS NULL THEN 'removed' WHEN a.c <> b.c THEN 'changed' END AS change FROM a FULL JOIN b ON a.fact_key = b.fact_key) WHERE change IS NOT NULL",
+    f"WITH {FACTS}, s AS (SELECT {_FACT}, min(CASE WHEN snapshot_id = '{SNAP}' THEN confidence END) AS a, min(CASE WHEN snapshot_id = '{OTHER}' THEN confidence END) AS b FROM facts WHERE {ACTIVE} GROUP BY ALL)"
+    f" SELECT {KEY} AS fact_key, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' ELSE 'changed' END AS change FROM s WHERE (a IS NOT NULL OR b IS NOT NULL) AND a IS DISTINCT FROM b",
 )
 def _(spark, sf_dir):
-    return store.snapshot_diff(star_facts(spark, sf_dir), "shop", SNAP, OTHER)
+    return store.snapshot_diff(stored(spark, sf_dir), "shop", SNAP, OTHER)
 
 
-@query("interval_visibility", f"WITH {FACTS} SELECT snapshot_id, relation_type, count(*) AS n FROM facts WHERE {ACTIVE} GROUP BY 1, 2")
+@query("interval_visibility", f"WITH {FACTS}, s AS (SELECT *, CASE WHEN snapshot_id = '{SNAP}' THEN 1 ELSE 2 END AS since, CASE fact_ord % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 END AS until FROM facts WHERE {ACTIVE}) SELECT snapshot_id, relation_type, count(*) AS n FROM s WHERE since <= 2 AND (until IS NULL OR until > 2) GROUP BY 1, 2")
 def _(spark, sf_dir):
-    order = spark.createDataFrame([(SNAP, 1), (OTHER, 2)], "snapshot_id string, snapshot_ord int")
-    seen = store.interval_visible(star_facts(spark, sf_dir), order, "shop", OTHER)
+    """A third of the facts ends with the second snapshot, a third with the next."""
+    order = spark.createDataFrame([(SNAP, 1), (OTHER, 2), ("snap-3", 3)], "snapshot_id string, snapshot_ord int")
+    until = F.when(F.col("fact_ord") % 3 == 0, OTHER).when(F.col("fact_ord") % 3 == 1, "snap-3").otherwise("")
+    seen = store.interval_visible(stored(spark, sf_dir).withColumn("valid_to_snapshot", until), order, "shop", OTHER)
     return seen.groupBy("snapshot_id", "relation_type").agg(F.count("*").alias("n"))
 
 
 @query("store_recommendation", f"WITH {FACTS} SELECT project_id, count(*) AS n, CASE WHEN count(*) >= 5000000 THEN 'REJECT' WHEN count(*) >= 500000 THEN 'SWITCH_RECOMMENDED' ELSE 'OK' END AS advice FROM facts WHERE {ACTIVE} GROUP BY 1")
 def _(spark, sf_dir):
-    n = star_facts(spark, sf_dir).where(store.visible()).groupBy("project_id").agg(F.count("*").alias("n"))
+    n = stored(spark, sf_dir).where(store.visible()).groupBy("project_id").agg(F.count("*").alias("n"))
     return n.withColumn("advice", store.size_advice(F.col("n")))
 
 
 @query("rebuild_notice", f"WITH {FACTS}, {_BATCH} SELECT project_id, snapshot_id, 'DATA' AS families, count(*) FILTER (active AND NOT tombstone) AS n_active FROM b GROUP BY 1, 2")
 def _(spark, sf_dir):
-    return store.distinct_families(batch(star_facts(spark, sf_dir))).withColumn("families", F.array_join("families", ","))
+    return store.distinct_families(batch(stored(spark, sf_dir))).withColumn("families", F.array_join("families", ","))
 
 
 # --- health ---

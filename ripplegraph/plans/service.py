@@ -6,6 +6,8 @@ checks, exports) are rows of an artifact table by kind.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from ripplegraph.functions import ids
 from ripplegraph.operators import govern, impact, retrieve, traverse
 from ripplegraph.sources import sinks, store
+from ripplegraph.sources.lineage import cut
 
 VIEWS = ("PATHS", "TABLE", "TREE", "GRAPH", "SQL", "REPORT", "TIMELINE", "SUMMARY")
 ARTIFACTS = {"saved-queries": "saved-query", "subscriptions": "watch-subscription", "review-threads": "review-comment", "policies": "policy-violation", "ci-checks": "policy-violation", "exports": "export-artifact"}
@@ -37,6 +40,8 @@ class Service:
             "rag.answerDraft": self.answer_draft,
             "report.getImpactReport": self.report,
             "project.overview": self.overview,
+            "feature.planChange": self.plan_change,
+            "feature.planAddition": self.plan_addition,
         }
         self.endpoints: dict[str, Callable[[dict], DataFrame]] = {
             "workspaces": lambda r: spark.createDataFrame([("default",)], "workspace string"),
@@ -51,6 +56,10 @@ class Service:
             "graph/paths": lambda r: traverse.paths_between(self.visible(r), self.seed(r), r["to"], r.get("depth", 5), r.get("paths", 100)),
             "impact/analyze-diff": self.analyze_diff,
             "impact/reports": lambda r: self.listed("reports", r),
+            "impact/report-impact": lambda r: self.report_impact(r)["paths"],
+            "features/plan-change": lambda r: self.job("feature-change", "change-plan", r),
+            "features/plan-addition": lambda r: self.job("feature-addition", "change-plan", r),
+            "admin/projects": lambda r: self.delete_project(r["project"], bool(r.get("confirm")), r.get("key")),
             "variable-trace": self.variable_trace,
             "db-impact": self.db_impact,
             "architecture-health": self.health,
@@ -117,6 +126,24 @@ class Service:
         """Reports of a column or table, or the columns of a report."""
         return impact.affected_columns(self.visible(r), r["id"]) if r["id"].startswith("report-definition://") else impact.affected_reports(self.visible(r), r["id"])
 
+    def job(self, kind: str, result: str, r: dict) -> DataFrame:
+        """What a request that runs later gets: job_id, report_id, status. Equal requests have equal ids."""
+        key = hashlib.sha256(json.dumps([kind, sorted((k, str(v)) for k, v in r.items())]).encode()).hexdigest()[:12]
+        return self.spark.createDataFrame([(f"job-{kind}-{key}", f"{result}-{key}", "QUEUED")], "job_id string, report_id string, status string")
+
+    def plan_change(self, r: dict) -> DataFrame:
+        """id, kind, n_paths, depth of what a change of an id reaches, the nearest first: what the change has to look at."""
+        paths = self.impact_paths(r)
+        ends = paths.groupBy(F.element_at("ids", -1).alias("id")).agg(F.count("*").alias("n_paths"), F.min("depth").alias("depth"))
+        return sinks.page(ends.select("id", ids.kind_of(F.col("id")).alias("kind"), "n_paths", "depth"), ["depth", "id"], r.get("offset", 0), r.get("limit", 100))
+
+    def plan_addition(self, r: dict) -> DataFrame:
+        """id, kind, n_uses of ids that contain a new feature's name, the most used first: where it may belong."""
+        found = self.symbol_search(r | {"limit": 100, "offset": 0})
+        uses = self.visible(r).groupBy(F.col("target_identity_id").alias("id")).agg(F.count("*").alias("n_uses"))
+        rows = found.join(uses, "id", "left").select("id", ids.kind_of(F.col("id")).alias("kind"), F.coalesce("n_uses", F.lit(0)).alias("n_uses"))
+        return rows.orderBy(F.desc("n_uses"), "id").limit(r.get("limit", 100))
+
     def semantic_search(self, r: dict) -> DataFrame:
         return retrieve.hybrid_search(self.tables["documents"], r["q"], r["project"], r["snapshot"], r.get("limit", 10))
 
@@ -154,7 +181,8 @@ class Service:
         out, counts = {}, []
         for r in decided:
             if r.reason is None:
-                out[r.request_id] = self.handlers[r.tool_name]({"project": r.project_id, **r.arguments})
+                # written once: the count and the caller's reading don't compute it again
+                out[r.request_id] = cut(self.handlers[r.tool_name]({"project": r.project_id, **r.arguments}), "answer")
                 counts.append((r.request_id, out[r.request_id].count()))
         done = self.spark.createDataFrame(counts, "request_id string, result_count long")
         return out, govern.audit(govern.decisions(requests, projects, list(self.handlers)).join(done, "request_id", "left"))

@@ -45,8 +45,7 @@ _HASH = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split
     " SELECT doc_id, CAST(slot AS INTEGER) AS slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 9) AS value FROM s",
 )
 def _(spark, sf_dir):
-    v = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.token_embedding(F.col("text"), 48)).alias("slot", "value"))
-    return v.where("value <> 0").withColumn("value", F.round("value", 9))
+    return text.embedding_slots(table(spark, sf_dir, "documents"), "doc_id", "text", 48).withColumn("value", F.round("value", 9))
 
 
 _QUERY = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
@@ -145,10 +144,16 @@ def _(spark, sf_dir):
     return limiter.limit(e, 20, 6 * 3600)
 
 
-@query("event_audit", "SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_rejected, round(sum(value), 6) AS total FROM events GROUP BY 1")
+@query(
+    "event_audit",
+    "SELECT CAST(event_id AS VARCHAR) AS request_id, 'u' || user_id AS principal, 'shop' AS project_id, event_type AS tool_name, 'mail=[REDACTED_EMAIL],note=token=[REDACTED_SECRET]' AS parameter_summary, CASE WHEN value > 50 THEN 0 ELSE 3 END AS result_count, 'redacted' AS redaction_state, CASE WHEN value > 50 THEN 'rate limited' END AS rejection_reason FROM events",
+)
 def _(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("n_rejected"), F.round(F.sum("value"), 6).alias("total"))
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    arguments = F.create_map(F.lit("mail"), F.concat(user, F.lit("@shop.example")), F.lit("note"), F.concat(F.lit("token="), F.col("event_type"), F.col("event_id").cast("string")))
+    rejected = F.col("value") > 50
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("request_id"), user.alias("principal"), F.lit("shop").alias("project_id"), F.col("event_type").alias("tool_name"), arguments.alias("arguments"), F.when(~rejected, 3).alias("result_count"), F.when(rejected, "rate limited").alias("reason"))
+    return govern.audit(calls)
 
 
 # --- pages ---
@@ -165,10 +170,21 @@ def _(spark, sf_dir):
     return html.html_links(table(spark, sf_dir, "pages"))
 
 
-@query("link_targets", f"WITH {_HREFS} SELECT page_id, position, CASE WHEN ltrim(regexp_replace(href, '[?#].*$', ''), '/') = '' THEN '_root' ELSE ltrim(regexp_replace(href, '[?#].*$', ''), '/') END AS path FROM l WHERE starts_with(href, '/') AND NOT contains(href, '//') AND NOT contains(href, '/.')")
+_BARE = "regexp_replace(trim(href), '[?#].*$', '')"
+_SEGMENTS = "list_filter(string_split(regexp_replace(x, '\\\\', '/', 'g'), '/'), lambda y: trim(y) NOT IN ('', '.'))"
+#: '..' takes the segment before away; a list of segments is gone through by reduce
+_COLLAPSED = "array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(" + _SEGMENTS + ", lambda y: [y])), lambda a, y: CASE WHEN y[1] = '..' THEN a[1 : greatest(len(a) - 1, 0)] ELSE list_concat(a, y) END), '/')"
+_LOCAL = _COLLAPSED.replace("(x, ", f"({_BARE}, ")
+_EXTERNAL = _COLLAPSED.replace("(x, ", f"(regexp_replace(regexp_replace({_BARE}, '^(//|[A-Za-z0-9+.-]+://)', ''), '[^A-Za-z0-9/._~-]', '-', 'g'), ")
+
+
+@query(
+    "link_targets",
+    f"WITH {_HREFS}, t AS (SELECT page_id, position, CASE WHEN regexp_matches(trim(href), '^(//|[A-Za-z0-9+.-]+://)') THEN 'external/' || CASE WHEN starts_with(trim(href), '//') THEN 'protocol-relative' ELSE lower(split_part(trim(href), '://', 1)) END || '/' || CASE WHEN {_EXTERNAL} = '' THEN '_root' ELSE {_EXTERNAL} END"
+    f" WHEN starts_with(trim(href), '?') THEN 'index.html' WHEN regexp_matches({_BARE}, '^[A-Za-z0-9+.-]+:') THEN {_BARE} ELSE {_LOCAL} END AS path FROM l) SELECT page_id, position, CASE WHEN trim(path) = '' THEN '_root' ELSE path END AS path FROM t",
+)
 def _(spark, sf_dir):
     links = html.html_links(table(spark, sf_dir, "pages"))
-    links = links.where(F.col("href").startswith("/") & ~F.col("href").contains("//") & ~F.col("href").contains("/."))
     return links.select("page_id", "position", web.route(web.resolve(F.lit("index.html"), F.col("href"))).alias("path"))
 
 
@@ -184,7 +200,7 @@ def _(spark, sf_dir):
 @query("html_facts", f"WITH {_HREFS}, p AS (SELECT page_id, count(*) AS n FROM l GROUP BY 1) SELECT 'pages' AS what, count(*) AS n FROM pages UNION ALL SELECT 'links', CAST(sum(n) AS BIGINT) FROM p")
 def _(spark, sf_dir):
     rows = html.html_rows(table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), "html"))
-    kinds = rows.where("kind in ('page', 'link')").groupBy("kind").agg(F.count("*").alias("n"))
+    kinds = rows.groupBy("kind").agg(F.count("*").alias("n"))
     return kinds.select(F.concat("kind", F.lit("s")).alias("what"), "n")
 
 

@@ -1,16 +1,20 @@
 """The fact store: scans, and mutations as functions from tables to tables, with a Parquet store about them.
 
 Facts are Parquet, partitioned by project and snapshot, so scans of a snapshot prune the rest and equality predicates on
-relation, source and target reach the files. A mutation rewrites the partition of its snapshot: it is written beside it
-and swapped in by dynamic partition overwrite.
+relation, source and target reach the files. A mutation writes the partitions of its snapshots anew under a version of their
+own and then moves the store's pointer, a small file that names the live partitions: readers see all of a commit or none,
+a failure on the way leaves the store as it was, and a partition without rows is simply not named any more.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ripplegraph.functions import registry
 from ripplegraph.functions.ids import fact_key, kind_of
@@ -96,7 +100,8 @@ def upsert(facts: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def replace_scope(facts: DataFrame, batch: DataFrame, owner: dict[str, str], family: str | None = None) -> DataFrame:
-    """An owner's new state: its facts that the batch repeats are replaced, the others become tombstones.
+    """An owner's new state: its facts that the batch doesn't repeat become tombstones, then each row of the batch replaces what
+    has its own key, project, snapshot, analyzer and scope, whoever the owner is.
 
     The owner is project, snapshot, analyzer and scope; family narrows it to a relation family. The batch's rows aren't
     checked to belong to the owner.
@@ -107,10 +112,10 @@ def replace_scope(facts: DataFrame, batch: DataFrame, owner: dict[str, str], fam
     if family:
         mine = mine & (F.col("relation_family") == family)
     keys = batch.select("fact_key").distinct().withColumn("__again", F.lit(True))
-    df = facts.withColumn("__mine", mine).join(keys, "fact_key", "left")
-    df = df.where(~(F.col("__mine") & F.coalesce(F.col("__again"), F.lit(False))))
-    df = df.withColumn("tombstone", F.col("tombstone") | F.col("__mine")).drop("__mine", "__again").select(*facts.columns)
-    return df.unionByName(_after(facts, batch))
+    df = facts.join(keys, "fact_key", "left")
+    df = df.withColumn("tombstone", F.col("tombstone") | (mine & F.col("__again").isNull())).select(*facts.columns)
+    own = batch.select(*UPSERT_KEY).distinct()
+    return df.join(own, list(UPSERT_KEY), "left_anti").select(*facts.columns).unionByName(_after(facts, batch))
 
 
 def purge_tombstones(facts: DataFrame, project: str, snapshot: str) -> DataFrame:
@@ -162,48 +167,138 @@ def fact_errors(facts: DataFrame) -> DataFrame:
 
 
 class FactStore:
-    """Facts in Parquet under a path, by project and snapshot. Listeners hear of what a commit changed."""
+    """Facts in Parquet under a path, by project and snapshot. Listeners hear of what a commit changed.
+
+    A commit fails if another one was made since it began to read.
+    """
 
     def __init__(self, spark: SparkSession, path: str, reject: int | None = None):
-        self.spark, self.path, self.reject = spark, path, reject
+        self.spark, self.path, self.reject = spark, path.rstrip("/"), reject
         self.listeners: list[Callable[[dict], None]] = []
 
-    def facts(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    # pointers: numbered files, the last one counts
+
+    def _fs(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _listed(self, path: str) -> list[str]:
+        system, at = self._fs(path)
+        return [x.getPath().getName() for x in system.listStatus(at)] if system.exists(at) else []
+
+    def _last(self) -> int:
+        return max((int(x[: -len(".json")]) for x in self._listed(f"{self.path}/pointers") if x.endswith(".json")), default=0)
+
+    def _pointer(self) -> dict:
+        """number, schema and live: [project, snapshot, folder] of each live partition."""
+        n = self._last()
+        if not n:
+            return {"number": 0, "schema": None, "live": []}
+        system, at = self._fs(f"{self.path}/pointers/{n}.json")
+        stream = system.open(at)
+        try:
+            text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text)
+
+    def _point(self, old: dict, schema: StructType, live: list[list[str]]) -> None:
+        n = old["number"] + 1
+        system, at = self._fs(f"{self.path}/pointers/{n}.json")
+        _, temporary = self._fs(f"{self.path}/pointers/.{uuid.uuid4().hex}")
+        out = system.create(temporary, False)
+        out.write(bytearray(json.dumps({"number": n, "schema": json.loads(schema.json()), "live": live}).encode()))
+        out.close()
+        if self._last() >= n or not system.rename(temporary, at):
+            system.delete(temporary, False)
+            raise RuntimeError("the store was changed by another commit")
 
-    def _swap(self, df: DataFrame) -> None:
-        """Replace the partitions that df holds; it is written out first, as it may read them."""
-        done = cut(df, "store")
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "snapshot_id").parquet(self.path)
+    def facts(self) -> DataFrame:
+        return self._read(self._pointer())
+
+    def _read(self, pointer: dict, only: set[tuple[str, str]] | None = None) -> DataFrame:
+        if pointer["schema"] is None:
+            raise ValueError(f"the store at {self.path} has no facts yet")
+        schema = StructType.fromJson(pointer["schema"])
+        live = [x for p, s, x in pointer["live"] if only is None or (p, s) in only]
+        if not live:
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(StructType(schema.fields).add("version", "string")).option("basePath", f"{self.path}/facts")
+        return read.parquet(*[f"{self.path}/facts/{x}" for x in live]).select(*schema.names)
+
+    def _commit(self, old: dict, df: DataFrame, gone: set[tuple[str, str]] = frozenset()) -> None:
+        """df's rows become live beside what the old pointer names, less the partitions that are gone."""
+        version = f"version={uuid.uuid4().hex}"
+        made = df.select("project_id", "snapshot_id").distinct()
+        df.write.partitionBy("project_id", "snapshot_id").parquet(f"{self.path}/facts/{version}")
+        escape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        there = {f"{p}/{s}" for p in self._listed(f"{self.path}/facts/{version}") if "=" in p for s in self._listed(f"{self.path}/facts/{version}/{p}")}
+        live = [x for x in old["live"] if (x[0], x[1]) not in gone]
+        for r in made.collect():  # a row a snapshot
+            folder = f"project_id={escape(r.project_id)}/snapshot_id={escape(r.snapshot_id)}"
+            if folder in there:
+                live.append([r.project_id, r.snapshot_id, f"{version}/{folder}"])
+        self._point(old, df.schema, live)
+
+    def vacuum(self) -> int:
+        """Deletes versions that no live partition is in, and old pointers; for when no reader is on them. Returns how many versions."""
+        pointer = self._pointer()
+        used = {x[2].partition("/")[0] for x in pointer["live"]}
+        old = [f"facts/{x}" for x in self._listed(f"{self.path}/facts") if x.startswith("version=") and x not in used]
+        for x in [*old, *(f"pointers/{k}.json" for k in range(1, pointer["number"]))]:
+            system, at = self._fs(f"{self.path}/{x}")
+            system.delete(at, True)
+        return len(old)
+
+    # commits
 
     def append(self, batch: DataFrame) -> None:
-        self._guard(batch)
-        batch.write.mode("append").partitionBy("project_id", "snapshot_id").parquet(self.path)
+        old = self._pointer()
+        self._guard(old, batch)
+        self._commit(old, _after(self._read(old), batch).select(*batch.columns) if old["schema"] else batch)
+        self._tell(batch)
 
-    def _guard(self, batch: DataFrame) -> None:
-        if self.reject is not None:
-            n = self.facts().where(visible()).count() + batch.count()
-            if n >= self.reject:
-                raise ValueError(f"{n} facts are too many for this store")
+    def _guard(self, old: dict, batch: DataFrame) -> None:
+        """No project of the batch may come to hold `reject` visible facts or more."""
+        if self.reject is None:
+            return
+        new = batch.groupBy("project_id").agg(F.count("*").alias("n"))
+        if old["schema"]:
+            new = new.unionByName(self._read(old).where(visible()).groupBy("project_id").agg(F.count("*").alias("n")).join(new.select("project_id"), "project_id", "left_semi"))
+        for r in new.groupBy("project_id").agg(F.sum("n").alias("n")).where(F.col("n") >= self.reject).collect():  # a row a project of the batch
+            raise ValueError(f"{r.n} facts are too many for project {r.project_id}")
 
-    def _touched(self, batch: DataFrame) -> DataFrame:
-        keys = batch.select("project_id", "snapshot_id").distinct()
-        return self.facts().join(F.broadcast(keys), ["project_id", "snapshot_id"], "left_semi")  # a row a snapshot of the batch
+    def _touched(self, old: dict, batch: DataFrame, *more: tuple[str, str]) -> tuple[set[tuple[str, str]], DataFrame]:
+        keys = {(r.project_id, r.snapshot_id) for r in batch.select("project_id", "snapshot_id").distinct().collect()} | set(more)  # a row a snapshot of the batch
+        return keys, self._read(old, keys) if old["schema"] else batch.limit(0)
 
     def upsert(self, batch: DataFrame) -> None:
-        self._guard(batch)
-        self._swap(upsert(self._touched(batch), batch))
+        old = self._pointer()
+        self._guard(old, batch)
+        keys, own = self._touched(old, batch)
+        self._commit(old, cut(upsert(own, batch), "store"), keys)
         self._tell(batch)
 
     def replace_scope(self, batch: DataFrame, owner: dict[str, str], family: str | None = None) -> None:
-        own = self.facts().where((F.col("project_id") == owner["project_id"]) & (F.col("snapshot_id") == owner["snapshot_id"]))
-        self._swap(replace_scope(own, batch, owner, family))
+        old = self._pointer()
+        self._guard(old, batch)
+        keys, own = self._touched(old, batch, (owner["project_id"], owner["snapshot_id"]))
+        self._commit(old, cut(replace_scope(own, batch, owner, family), "store"), keys)
         self._tell(batch)
 
     def purge_tombstones(self, project: str, snapshot: str) -> int:
-        own = self.facts().where((F.col("project_id") == project) & (F.col("snapshot_id") == snapshot))
+        old = self._pointer()
+        own = self._read(old, {(project, snapshot)})
         n = own.where("tombstone").count()
-        self._swap(purge_tombstones(own, project, snapshot))
+        if n:
+            self._commit(old, cut(purge_tombstones(own, project, snapshot), "store"), {(project, snapshot)})
+        return n
+
+    def delete_project(self, project: str) -> int:
+        """Returns how many facts went."""
+        old = self._pointer()
+        n = self._read(old, {(p, s) for p, s, _ in old["live"] if p == project}).count()
+        self._point(old, StructType.fromJson(old["schema"]), [x for x in old["live"] if x[0] != project])
         return n
 
     def _tell(self, batch: DataFrame) -> None:

@@ -87,6 +87,15 @@ def test_service(spark):
     assert s.report_impact({**at, "id": "db-table://t"})["paths"].count() == 0 and s.delete_project("shop", confirmed=True).count() == 0
     with pytest.raises(ValueError):
         s.delete_project("shop")
+    with pytest.raises(ValueError):
+        s.endpoints["admin/projects"]({"project": "shop"})
+    assert s.endpoints["admin/projects"]({"project": "shop", "confirm": True}).count() == 0
+    assert s.endpoints["impact/report-impact"]({**at, "id": "db-table://t"}).count() == 0
+    change, again = (s.endpoints["features/plan-change"]({**at, "id": "x"}).first() for _ in range(2))
+    assert change == again and change.status == "QUEUED" and s.endpoints["features/plan-addition"](at).first().job_id != change.job_id
+    assert [x.id for x in s.handlers["feature.planChange"]({**at, "id": "method://shop/m/r/Part#a"}).collect()][-1] == "db-table://t"
+    assert {x.id: x.n_uses for x in s.handlers["feature.planAddition"]({**at, "q": "order"}).collect()} == {"method://shop/m/r/Order#b": 1}
+    assert set(govern.TOOLS) == set(s.handlers)
     with pytest.raises(ValueError):
         sinks.page(f, ["fact_ord"], 0, 101)
 
