@@ -7,7 +7,8 @@ often; it is found by sectioning an interval that brackets it (16 parts a round,
 A source's budget is its weight times the token budget. Its documents are put in an order by a hash of their content and the
 epoch and taken epoch by epoch until the budget is used up; a document's place in its budget, as a share, gives its block,
 so each block holds all sources by weight. Places are running sums in two levels: ranges of the hash per source and epoch are
-summed first, so no task takes a source whole, however hot; there are more ranges the more rows there are.
+summed first, so no task takes a source whole, however hot. The number of ranges grows with the root of the rows, so that both a
+source's ranges and a range's rows stay few.
 
 Native: DataFrame functions only. Rows are told apart by 128 bits of their content, so the mixture doesn't depend on how
 they are partitioned. Defined cases: null text has no tokens and its document is taken with the place it falls on; null
@@ -18,12 +19,14 @@ empty result. In `mixed` a column with the name of one of the mixture's gives wa
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplegraph.llm.util import cut, table
 
-ENTROPY_SHARE, MAX_REPEATS, BUDGET_SHARE, BLOCKS, RANGE_ROWS, SEED = 0.97, 4.0, 1.0, 64, 20_000, 11
+ENTROPY_SHARE, MAX_REPEATS, BUDGET_SHARE, BLOCKS, SEED = 0.97, 4.0, 1.0, 64, 11
 PARTS, ROUNDS = 16, 8
 
 
@@ -88,14 +91,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__h": F.xxhash64(*plain), "__g": F.xxhash64(F.lit("mix"), *reversed(plain))})
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", blocks: int = BLOCKS, range_rows: int = RANGE_ROWS, seed: int = SEED, keys: bool = False, **how) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", blocks: int = BLOCKS, ranges: int | None = None, seed: int = SEED, keys: bool = False, **how) -> DataFrame:
     """The mixture: doc_id, source, epoch, n_tokens, block, place (in the block, a sort key), weight; keys: and the rows' content hashes.
 
     A document is in it once for each epoch in which it falls within its source's budget.
     """
     d = _keyed(docs).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), token_count(F.col(text)).alias("n_tokens"), "__h", "__g")
     d = cut(d, "mix-tokens")
-    ranges = max(16, -(-d.count() // range_rows))
+    ranges = ranges or max(16, 4 * math.isqrt(d.count()))
     weights = cut(source_weights(d, "source", "n_tokens", **how), "mix-weights")
     epochs = F.when(F.col("tokens") > 0, F.ceil(F.col("budget") / F.col("tokens"))).otherwise(1).cast("int")
     one = weights.select(F.col("source").alias("s"), "tokens", "weight", "budget", epochs.alias("epochs")).where("epochs > 0")
