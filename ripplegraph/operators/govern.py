@@ -80,5 +80,6 @@ def pick(candidates: DataFrame) -> DataFrame:
     """query_id, needs_picker, follow_up: several candidates need a choice, of several scopes one of scope."""
     scope = F.concat_ws("/", "project_id", "module_key", "datasource_key")
     g = candidates.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct(scope).alias("scopes"))
+    # The follow-up questions.
     text = F.when(F.col("n") <= 1, F.lit(None).cast("string")).when(F.col("scopes") > 1, "Choose project, module and datasource before continuing.").otherwise("Please choose one candidate before continuing.")
     return g.select("query_id", (F.col("n") > 1).alias("needs_picker"), text.alias("follow_up"))

@@ -21,16 +21,99 @@ _BLANK = re.compile(r"[^\n]")
 _TAG = re.compile(r"<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>")
 _ATTR = re.compile(web.ATTRIBUTE)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_HANDLER = re.compile(r"(?<![\w:-])(on(?:click|submit))\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
-_FETCH = re.compile(r"(?<![\w$.])fetch\s*\(\s*(['\"`])([^'\"`$]*)\1\s*(?:,\s*\{(.*?)\})?", re.S)
-_METHOD = re.compile(r"\bmethod\s*:\s*(['\"])(\w+)\1", re.I)
-_GOTO = re.compile(r"(?:\b(?:window|document|self|top|parent)\s*\.\s*)?\blocation(?:\s*\.\s*href)?\s*=\s*(['\"])([^'\"]*)\1|\blocation\s*\.\s*(?:assign|replace)\s*\(\s*(['\"])([^'\"]*)\3|\bwindow\s*\.\s*open\s*\(\s*(['\"])([^'\"]*)\5")
-_JS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|('(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\"|`(?:\\.|[^`\\])*`)", re.S)
-
-
-def uncommented(js: str) -> str:
-    """A script with its comments blanked; strings stay, and so do offsets."""
-    return _JS.sub(lambda m: m[0] if m[1] else _BLANK.sub(" ", m[0]), js)
+# The events whose handlers are read.
+_HANDLERS = ("onclick", "onsubmit")
+#: comments; strings and templates with what they hold; words; other signs
+_TOKEN = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|'((?:\\.|[^'\\\n])*)'|\"((?:\\.|[^\"\\\n])*)\"|`((?:\\.|[^`\\])*)`|([A-Za-z_$][\w$]*)|(\.\.\.|=>|[=!]==?|[-+*/%&|^<>]=|\S)", re.S)
+# The objects that fetch and location are members of.
+_GLOBALS = ("window", "self", "globalThis")
+_LOCATED = (*_GLOBALS, "document", "top", "parent")
+HERE = "?"  # an empty address: the page itself
+
+
+class Script:
+    """The tokens of a script: (kind, text, offset), kind word, text (a literal that nothing is put into), dynamic or sign."""
+
+    def __init__(self, code: str):
+        self.held: list[tuple[str, str, int]] = []
+        for m in _TOKEN.finditer(code):
+            literal = next((x for x in m.groups()[:3] if x is not None), None)
+            if literal is not None:
+                self.held.append(("dynamic" if m[3] is not None and "${" in literal else "text", re.sub(r"\\(.)", r"\1", literal, flags=re.S), m.start()))
+            elif m[4] is not None:
+                self.held.append(("word", m[4], m.start()))
+            elif m[5] is not None:
+                self.held.append(("sign", m[5], m.start()))
+
+    def sign(self, k: int, *signs: str) -> bool:
+        return 0 <= k < len(self.held) and self.held[k][0] == "sign" and self.held[k][1] in signs
+
+    def word(self, k: int, *words: str) -> bool:
+        return 0 <= k < len(self.held) and self.held[k][0] == "word" and self.held[k][1] in words
+
+    def of_global(self, k: int, names: tuple[str, ...]) -> bool:
+        """Whether the name at k stands alone or is a member of one of the global objects."""
+        return not self.sign(k - 1, ".") or (self.word(k - 2, *names) and not self.sign(k - 3, "."))
+
+    def literal(self, k: int, *after: str) -> str | None:
+        """The literal at k, if one of the signs or the end of the script follows; an empty one is HERE."""
+        if k < len(self.held) and self.held[k][0] == "text" and (k + 1 == len(self.held) or self.sign(k + 1, *after)):
+            return self.held[k][1] or HERE
+        return None
+
+    def verb(self, k: int) -> str | None:
+        """The method that the options at k give; None if they aren't an object, or tell only when they run."""
+        if not self.sign(k, "{"):
+            return None
+        found, depth, key = "GET", 0, False
+        while k < len(self.held):
+            if self.sign(k, "{", "(", "["):
+                depth, key = depth + 1, depth == 0
+            elif self.sign(k, "}", ")", "]"):
+                depth -= 1
+                if not depth:
+                    return found if self.sign(k + 1, ")", ",") else None
+            elif depth == 1 and self.sign(k, ","):
+                key = True
+            elif depth == 1 and self.sign(k, "..."):
+                return None
+            elif depth == 1 and key:
+                key = False
+                if self.held[k][0] in ("word", "text") and self.held[k][1] == "method":
+                    if not self.sign(k + 1, ":") or (value := self.literal(k + 2, ",", "}")) is None:
+                        return None
+                    found = value.upper()
+            k += 1
+        return None
+
+    def requests(self) -> list[tuple[int, str, str]]:
+        """(offset, method, url) of each fetch of a literal address with a literal method."""
+        out = []
+        for k, (_, _, at) in enumerate(self.held):
+            if self.word(k, "fetch") and self.sign(k + 1, "(") and self.of_global(k, _GLOBALS) and (url := self.literal(k + 2, ",", ")")) is not None:
+                plain = self.sign(k + 3, ")") or (self.sign(k + 3, ",") and self.sign(k + 4, ")"))
+                verb = "GET" if plain else self.verb(k + 4)
+                if verb:
+                    out.append((at, verb, url))
+        return out
+
+    def targets(self) -> list[str]:
+        """Literal addresses that the page goes to."""
+        out = []
+        for k in range(len(self.held)):
+            to = None
+            if self.word(k, "location") and self.of_global(k, _LOCATED):
+                if self.sign(k + 1, "="):
+                    to = self.literal(k + 2, ";", "}", ")", ",")
+                elif self.sign(k + 1, ".") and self.word(k + 2, "href") and self.sign(k + 3, "="):
+                    to = self.literal(k + 4, ";", "}", ")", ",")
+                elif self.sign(k + 1, ".") and self.word(k + 2, "assign", "replace") and self.sign(k + 3, "("):
+                    to = self.literal(k + 4, ")")
+            elif self.word(k, "open") and self.word(k - 2, "window") and self.sign(k - 1, ".") and not self.sign(k - 3, ".") and self.sign(k + 1, "("):
+                to = self.literal(k + 2, ")", ",")
+            if to is not None:
+                out.append(to)
+        return out
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -40,17 +123,12 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def requests(js: str) -> list[tuple[int, str, str]]:
-    """(offset, method, url) of each fetch of a literal address."""
-    out = []
-    for m in _FETCH.finditer(uncommented(js)):
-        verb = _METHOD.search(m[3] or "")
-        out.append((m.start(), verb[2].upper() if verb else "GET", m[2]))
-    return out
-
-
 def analyse(path: str, page: str) -> list[tuple]:
-    """Rows of INFO."""
+    """Rows of INFO. A .js file is all script."""
+    if path.lower().endswith(".js"):
+        code = page or ""
+        own = [(path, "request", code.count("\n", 0, k) + 1, 0, "", url, verb, "") for k, verb, url in Script(code).requests()]
+        return [(path, "page", 1, 0, "", "", "", ""), *own]
     text = _COMMENT.sub(lambda m: _BLANK.sub(" ", m[0]), page or "")
     starts = [0, *(m.end() for m in re.finditer("\n", text))]
     out: list[tuple] = [(path, "page", 1, 0, "", "", "", "")]
@@ -85,14 +163,16 @@ def analyse(path: str, page: str) -> list[tuple]:
             end = re.compile(r"</script\s*>", re.I).search(text, at)
             stop = end.start() if end else len(text)
             if not a.get("src", "").strip() and a.get("type", "").partition(";")[0].strip().lower() in web.EXECUTABLE_TYPES:
-                out += [(path, "request", place(at + k)[0], 0, "", url, verb, "") for k, verb, url in requests(text[at:stop])]
+                out += [(path, "request", place(at + k)[0], 0, "", url, verb, "") for k, verb, url in Script(text[at:stop]).requests()]
             at = end.end() if end else len(text)
             continue
-        for h in _HANDLER.finditer(m[3]):
+        for h in _ATTR.finditer(m[3]):
+            if h[1].lower() not in _HANDLERS:
+                continue
             spot = place(m.start(3) + h.start())
-            code = uncommented(h[2] if h[2] is not None else h[3])
-            out += [(path, "event", *spot, h[1].lower(), next(x for x in (g[2], g[4], g[6]) if x is not None), "NAVIGATES_TO", "") for g in _GOTO.finditer(code)]
-            out += [(path, "event", *spot, h[1].lower(), url, verb, "") for _, verb, url in requests(code)]
+            code = Script(next(x for x in h.groups()[1:] if x is not None))
+            out += [(path, "event", *spot, h[1].lower(), to, "NAVIGATES_TO", "") for to in code.targets()]
+            out += [(path, "event", *spot, h[1].lower(), url, verb, "") for _, verb, url in code.requests()]
     return out
 
 

@@ -104,6 +104,7 @@ def java_source(rows: DataFrame, x: Context) -> DataFrame:
     kind = c("kind")
     has = lambda *names: F.exists(F.coalesce(c("annotations"), F.array().cast("array<string>")), lambda a: F.substring_index(a, ".", -1).isin(*names))
     is_main = (kind == "method") & (c("method") == "main") & c("descriptor").startswith("([Ljava/lang/String;)") & F.array_contains(F.coalesce(c("modifiers"), F.array().cast("array<string>")), "static")
+    # The annotations of listeners.
     listener = has("JmsListener", "KafkaListener", "RabbitListener", "MessageMapping")
     edges = [
         (kind == "class", file, _class(x, c("owner")), "DECLARES", "class", sure),

@@ -138,6 +138,7 @@ def candidate_errors(candidates: DataFrame, identities: DataFrame, evidence: Dat
     df = df.join(mark(evidence, "evidence_key", "__e"), ["project_id", "snapshot_id", "evidence_key"], "left")
     known = F.col("relation_name").isin(*registry.FAMILY)
     own = F.col("relation_name").isin(*[r for r, f in registry.FAMILY.items() if f == "AI_ASSISTED_CANDIDATE"])
+    # The sentences of the rules.
     rules = [
         (~known, F.concat(F.lit("allowed relation type not registered: "), F.col("relation_name"))),
         (known & ~own, F.lit("AI candidate must use AI_ASSISTED_CANDIDATE relation family")),
