@@ -207,56 +207,6 @@ def report(path: str, text: str) -> Rows:
             yield {"format": kind, "report": title, "kind": what, "name": name, "table_name": table, "column_name": column, "line": line_of(text, name)}
 
 
-# --- JSP ---
-
-JSP = "page_path string, kind string, name string, value string, method string, form_key string, line int"
-_JSP_COMMENT = re.compile(r"<%--.*?(?:--%>|\Z)|<!--.*?(?:-->|\Z)", re.S)
-_DIRECTIVE = re.compile(r"<%@\s*(\w+)((?:\s+[\w:]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*%>")
-_ELEMENT = re.compile(r"<(/?)([A-Za-z][\w:-]*)((?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*)\s*/?>")
-_ATTR = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_PARAM = re.compile(r"request\s*\.\s*getParameter(?:Values)?\s*\(\s*\"([^\"]+)\"\s*\)|\$\{\s*param\.(\w+)|\$\{\s*param\[\s*['\"]([^'\"]+)")
-_FORMS = frozenset(("form", "html:form", "form:form", "s:form"))
-_INPUTS = {"input": None, "select": "select", "textarea": "textarea", "html:text": "text", "html:hidden": "hidden", "html:password": "password", "html:checkbox": "checkbox", "html:select": "select", "html:textarea": "textarea", "form:input": "text", "form:hidden": "hidden", "form:select": "select", "form:textarea": "textarea", "s:textfield": "text"}
-
-
-def jsp(path: str, text: str) -> Rows:
-    """Directives, includes, forwards, forms, inputs and request parameters of a page, by tokens."""
-    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    text = _JSP_COMMENT.sub(blank, text)
-    line = lambda at: text.count("\n", 0, at) + 1
-    attributes = lambda raw: {m[1]: next(x for x in m.groups()[1:] if x is not None) for m in _ATTR.finditer(raw or "")}
-    row = lambda kind, at, name="", value="", method="", form="": {"page_path": path, "kind": kind, "name": name, "value": value, "method": method, "form_key": form, "line": line(at)}
-    yield row("page", 0)
-    for m in _DIRECTIVE.finditer(text):
-        a = attributes(m[2])
-        if m[1] == "include":
-            yield row("include", m.start(), "directive", a.get("file", ""))
-        elif m[1] == "taglib":
-            yield row("taglib", m.start(), a.get("prefix", ""), a.get("uri") or a.get("tagdir", ""))
-        else:
-            yield row("directive", m.start(), m[1], " ".join(f"{k}={v}" for k, v in sorted(a.items())))
-    form = ""
-    for m in _ELEMENT.finditer(text):
-        tag, a = m[2], attributes(m[3])
-        if tag in _FORMS:
-            if m[1]:
-                form = ""
-                continue
-            action, method = a.get("action") or a.get("modelAttribute", ""), a.get("method", "get")
-            form = f"{action}:{method}:{line(m.start())}:{m.start() - text.rfind(chr(10), 0, m.start()) - 1}"
-            yield row("form", m.start(), form, action, method, form)
-        elif m[1]:
-            continue
-        elif tag in _INPUTS and (a.get("name") or a.get("property") or a.get("path")):
-            yield row("input", m.start(), a.get("name") or a.get("property") or a.get("path"), _INPUTS[tag] or a.get("type", "text"), "", form)
-        elif tag in ("jsp:include", "c:import"):
-            yield row("include", m.start(), tag, a.get("page") or a.get("url", ""))
-        elif tag in ("jsp:forward", "c:redirect", "logic:forward"):
-            yield row("forward", m.start(), tag, a.get("page") or a.get("url") or a.get("name", ""))
-    for m in _PARAM.finditer(text):
-        yield row("param", m.start(), next(x for x in m.groups() if x))
-
-
 # --- descriptors ---
 
 # The JVM's letters for primitive types.

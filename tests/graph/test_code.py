@@ -3,7 +3,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from ripplegraph.operators import analyzers, html, joins, mappers, sqlscan, workspace
+from ripplegraph.operators import analyzers, html, joins, jsp, mappers, sqlscan, workspace
 
 
 def scanned(sql):
@@ -90,7 +90,7 @@ def test_other_xml(spark):
 
 def test_jsp(spark):
     page = '<%@ page import="a.B" %>\n<%-- <form action="no"> --%><%@ include file="h.jsp" %>\n<html:form action="/crates/put.do" method="post"><html:text property="crate"/><input type="hidden" name="id"></html:form>\n<jsp:forward page="/shelf.jsp"/><% request.getParameter("q"); %>${param.z}<%@ taglib prefix="c" uri="http://c" %>'
-    rows = analyzers.analyse(spark.createDataFrame([("web/a.jsp", page)], "path string, content string"), analyzers.jsp, analyzers.JSP)
+    rows = analyzers.analyse(spark.createDataFrame([("web/a.jsp", page)], "path string, content string"), jsp.jsp, jsp.JSP)
     got = {(x.kind, x.name, x.value) for x in rows.collect()}
     assert {("include", "directive", "h.jsp"), ("input", "crate", "text"), ("input", "id", "hidden"), ("forward", "jsp:forward", "/shelf.jsp"), ("param", "q", ""), ("param", "z", ""), ("taglib", "c", "http://c"), ("directive", "page", "import=a.B")} <= got
     facts = {(x.relation_type, x.target_identity_id) for x in mappers.jsp_pages(rows, mappers.Context()).collect()}
@@ -212,3 +212,27 @@ def test_pages_by_case():
     assert rows("<form action=x><textarea name=t></textarea><select NAME='s'></select><input name=u type=Hidden></form><input name=v>", "input") == [("t", "textarea", ""), ("s", "select", ""), ("u", "Hidden", ""), ("v", "text", "")]
     got = html.analyse("code/desk.JS", "var t = '</script><form action=no>';\nfetch('/a', {method: 'POST'});")
     assert [(r[1], r[2], r[5], r[6]) for r in got] == [("page", 1, "", ""), ("request", 2, "/a", "POST")]
+
+
+@pytest.mark.parametrize(
+    ("page", "kind", "want"),
+    [
+        ("<html:form action='/a'><html:text property='p'/></html:form ><form action=b><input name=q></form><input name=r type=Hidden>", "form", [("/a", "post"), ("b", "get")]),
+        ("<html:form action='/a'><html:text property='p'/></html:form ><form action=b><input name=q></form><input name=r type=Hidden>", "input", [("text", ""), ("text", ""), ("Hidden", "")]),
+        ("<jsp:include page='<%= x %>'/><jsp:include page=\"/h.jsp\" flush='true'/><c:import url='${u}'/>", "include", [("/h.jsp", "")]),
+        ("<jsp:forward page='<%= x %>'/><c:redirect url='/x.jsp'/>", "forward", [("/x.jsp", "")]),
+        ("<%-- <form action=no> --%><% out.print(\"<form action='no'>\"); %><!-- <form action=no> --><script>var s = '<form action=no>';</script><jsp:scriptlet>String f = \"<form action=no>\";</jsp:scriptlet><form\n action='a > b'\n>", "form", [("a > b", "get")]),
+        ("<form-x action=no><formx action=no><inputs name=no><form:forms action=no><form action=yes>", "form", [("yes", "get")]),
+        ("<% String s = \"<%@ include file='no.jsp' \"; %><%@\n include\n file = 'h.jspf' %>", "include", [("h.jspf", "")]),
+        ("<%@ taglib prefix='t' tagdir='/WEB-INF/tags' %>", "taglib", [("/WEB-INF/tags", "")]),
+    ],
+)
+def test_jsp_by_case(page, kind, want):
+    assert [(r["value"], r["method"]) for r in jsp.jsp("a.jsp", page) if r["kind"] == kind] == want
+
+
+def test_jsp_request_parameters():
+    of = lambda page: [r["name"] for r in jsp.jsp("a.jsp", page) if r["kind"] == "param"]
+    assert of('request.getParameter("no") <% // request.getParameter("no")\n/* request.getParameter("no") */ String s = "request.getParameter(1)"; request . getParameter("a"); %><%= request.getParameterValues("b") %>') == ["a", "b"]
+    assert of("<script>var x = '${param.a}'; </script>${empty param['b'] ? 1 : param[\"c\"]} <%-- ${param.no} --%><% String s = \"${param.no}\"; %> param.no ${myparam.no} #{param.d}") == ["a", "b", "c", "d"]
+    assert [r["line"] for r in jsp.jsp("a.jsp", "x\n<%\nrequest.getParameter(\"q\");\n%>") if r["kind"] == "param"] == [3]
