@@ -438,25 +438,58 @@ def _(spark, sf_dir):
     return diff(spark, sf_dir)[1].groupBy(F.element_at("ids", -1).alias("id")).agg(F.count("*").alias("n_paths"))
 
 
-@query(
-    "analyze_diff_db_counts",
-    f"{_DIFF}, t AS (SELECT DISTINCT ids[-1] AS target FROM u WHERE starts_with(ids[-1], 'db-table://') OR starts_with(ids[-1], 'db-column://')),"
-    f" hd AS (SELECT t.target, v.* FROM t JOIN v ON (starts_with(t.target, 'db-table://') AND v.relation_type IN ({_DB}) AND (v.target_identity_id = t.target OR starts_with(v.target_identity_id, replace(t.target, 'db-table://', 'db-column://') || '#'))) OR (starts_with(t.target, 'db-column://') AND v.relation_type IN ({listed(registry.COLUMN_EDGES)}) AND v.target_identity_id = t.target)),"
+_DB_HITS = (
+    f"hd AS (SELECT t.target, v.* FROM t JOIN v ON (starts_with(t.target, 'db-table://') AND v.relation_type IN ({_DB}) AND (v.target_identity_id = t.target OR starts_with(v.target_identity_id, replace(t.target, 'db-table://', 'db-column://') || '#'))) OR (starts_with(t.target, 'db-column://') AND v.relation_type IN ({listed(registry.COLUMN_EDGES)}) AND v.target_identity_id = t.target)),"
     " hb AS (SELECT s.target, count(*) AS n FROM (SELECT DISTINCT target, source_identity_id FROM hd WHERE starts_with(source_identity_id, 'sql-statement://')) s JOIN v ON v.relation_type = 'BINDS_TO' AND v.target_identity_id = s.source_identity_id GROUP BY 1)"
-    " SELECT t.target, count(*) FILTER (d.relation_type IN ('READS_TABLE', 'READS_COLUMN')) AS n_reads, count(*) FILTER (d.relation_type IN ('WRITES_TABLE', 'WRITES_COLUMN')) AS n_writes, CAST(coalesce(max(hb.n), 0) AS BIGINT) AS n_bindings FROM t LEFT JOIN hd d ON d.target = t.target LEFT JOIN hb ON hb.target = t.target GROUP BY 1",
 )
+_DB_COUNTS = "SELECT t.target, count(*) FILTER (d.relation_type IN ('READS_TABLE', 'READS_COLUMN')) AS n_reads, count(*) FILTER (d.relation_type IN ('WRITES_TABLE', 'WRITES_COLUMN')) AS n_writes, CAST(coalesce(max(hb.n), 0) AS BIGINT) AS n_bindings FROM t LEFT JOIN hd d ON d.target = t.target LEFT JOIN hb ON hb.target = t.target GROUP BY 1"
+_IS_DB = "(starts_with(id, 'db-table://') OR starts_with(id, 'db-column://'))"
+
+
+@query("analyze_diff_db_counts", f"{_DIFF}, t AS (SELECT DISTINCT ids[-1] AS target FROM u WHERE {_IS_DB.replace('id,', 'ids[-1],')}), {_DB_HITS} {_DB_COUNTS}")
 def _(spark, sf_dir):
     f, paths = diff(spark, sf_dir)
     ends = paths.select(F.element_at("ids", -1).alias("id")).where(ids.has_kind(F.col("id"), ("db-table", "db-column")))
     return impact.db_counts(f, ends)
 
 
-@query("analyze_diff_json")
+def report_text(depth: int, limit: int) -> str:
+    """CTEs u (paths in report order), ends (affected ids in it), i (database impacts) and cut (whether a search was)."""
+    seeded = ", ".join(f"('{x}', {k})" for k, x in enumerate(CHANGED))
+    both = " UNION ALL ".join(f"SELECT seed_ord, {k} AS side, rank, ids, depth, seed FROM {name}_r JOIN c USING (seed)" for k, name in enumerate("ab"))
+    return (
+        f"WITH RECURSIVE {VISIBLE}, {search_text(edges_text(registry.CALL_EDGES, False), CHANGED, depth, limit, name='a')}, {search_text(edges_text(registry.DOWNSTREAM_EDGES, True), CHANGED, depth, limit, name='b')},"
+        f" c AS (SELECT * FROM (VALUES {seeded}) x(seed, seed_ord)), u AS (SELECT *, row_number() OVER (ORDER BY seed_ord, side, rank) AS place FROM ({both})),"
+        f" ends AS (SELECT ids[-1] AS id, min(place) AS first FROM u GROUP BY 1), t AS (SELECT id AS target FROM ends WHERE {_IS_DB}), {_DB_HITS},"
+        f" i AS (SELECT * FROM ({_DB_COUNTS}) JOIN ends ON target = id), cut AS (SELECT coalesce(bool_or(n >= {limit}), false) AS yes FROM (SELECT count(*) AS n FROM u GROUP BY seed, side))"
+    )
+
+
+_JSON = (
+    "SELECT CAST(to_json({"
+    f"'projectId': 'shop', 'snapshotId': '{SNAP}', 'changedSymbols': [{listed(CHANGED)}], 'affectedSymbols': (SELECT list(id ORDER BY first) FROM ends), 'paths': (SELECT list({{'identityIds': ids, 'depth': depth}} ORDER BY place) FROM u),"
+    " 'pathDetails': (SELECT list({'identityIds': ids, 'risk': 'MEDIUM', 'confidence': 'LIKELY', 'sourceType': 'IMPACT_FLOW', 'evidenceKeys': CAST([] AS VARCHAR[])} ORDER BY place) FROM u),"
+    " 'dbImpacts': (SELECT coalesce(list({'targetIdentityId': target, 'readCount': n_reads, 'writeCount': n_writes, 'upstreamBindingCount': n_bindings} ORDER BY first), []) FROM i), 'suggestedTests': CAST([] AS VARCHAR[]), 'aiEnabled': false, 'truncated': (SELECT yes FROM cut)}) AS VARCHAR) AS json"
+)
+
+
+@query("analyze_diff_json", f"{report_text(3, 60)} {_JSON}")
 def _(spark, sf_dir):
     return impact.report_json(impact.analyze_diff(pinned(spark, sf_dir), "shop", SNAP, CHANGED, 3, 60))
 
 
-@query("analyze_diff_markdown")
+_TICKED = lambda what, rows: f"coalesce((SELECT string_agg('- `' || {what} || '`' || chr(10), '' ORDER BY first) FROM {rows}), '- None' || chr(10))"
+_MARKDOWN = (
+    f"SELECT '# Fast Impact Report' || chr(10) || chr(10) || '- Project: `shop`' || chr(10) || '- Snapshot: `{SNAP}`' || chr(10) || '- AI Enabled: `false`' || chr(10) || '- Truncated: `' || (SELECT yes FROM cut) || '`' || chr(10)"
+    " || chr(10) || '## Changed Symbols' || chr(10) || chr(10) || " + " || ".join(f"'- `{x}`' || chr(10)" for x in CHANGED) + f" || chr(10) || '## Affected Symbols' || chr(10) || chr(10) || {_TICKED('id', 'ends')}"
+    " || chr(10) || '## Impact Paths' || chr(10) || chr(10) || (SELECT string_agg('- `' || array_to_string(ids, '` -> `') || '`' || chr(10), '' ORDER BY place) FROM u)"
+    " || chr(10) || '## Path Evidence' || chr(10) || chr(10) || (SELECT repeat('- Risk `MEDIUM`, confidence `LIKELY`, source `IMPACT_FLOW`, evidence []' || chr(10), CAST(count(*) AS INTEGER)) FROM u)"
+    " || chr(10) || '## DB Impacts' || chr(10) || chr(10) || coalesce((SELECT string_agg('- `' || target || '`: ' || n_reads || ' read, ' || n_writes || ' write, ' || n_bindings || ' upstream bindings' || chr(10), '' ORDER BY first) FROM i), '- None' || chr(10))"
+    " || chr(10) || '## Suggested Tests' || chr(10) || chr(10) || '- None' || chr(10) AS markdown"
+)
+
+
+@query("analyze_diff_markdown", f"{report_text(2, 20)} {_MARKDOWN}")
 def _(spark, sf_dir):
     report = impact.analyze_diff(pinned(spark, sf_dir), "shop", SNAP, CHANGED, 2, 20)
     return spark.createDataFrame([(impact.report_markdown(report),)], "markdown string")
