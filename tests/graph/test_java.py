@@ -179,7 +179,7 @@ def test_jars_are_read_whole(spark):
     with zipfile.ZipFile(jar[0]) as z:
         n = sum(x.endswith(".class") for x in z.namelist())
     assert rows.where("error is not null").count() == 0 and rows.where("kind = 'class'").count() == n
-    assert rows.where("kind = 'call' and owner = 'org.apache.commons.lang3.BooleanUtils' and target_method = 'toBoolean'").count() > 0
+    assert rows.where("kind = 'call' and owner = 'org.apache.commons.lang3.BooleanUtils' and target_owner = owner").count() > 10
 
 
 def test_diagnostics_of_source_files(spark):
