@@ -5,8 +5,11 @@ normalisation could change a count) and the tokenizer its own digest, of its fil
 content that is missing there is encoded once, however many copies it has, and appended. Only the documents that carry a
 miss to the encoder are moved, by id; copies are told apart by their small digest rows.
 
-Defined cases: null text counts as empty (no bytes, no tokens); repeated rows and copies share one count; an empty table
-gives an empty result. Losing an executor repeats its tasks; a cache append is a Spark commit, so it is whole or absent.
+Defined cases: null text counts as empty (no bytes, no tokens); rows that repeat an id or a text, with null ids too, each get
+their text's count; ties (copies with one id) are encoded once all the same; very long texts are encoded whole; an empty
+table gives an empty result and appends nothing; other columns aren't looked at, whatever their names. Losing an executor repeats
+its tasks; a cache append is a Spark commit, so it is whole or absent. A run's own cache begins empty in the query; tests run
+it again on a filled one.
 """
 
 from __future__ import annotations
