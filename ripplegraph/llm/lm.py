@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ripplegraph.llm.util import by_group, fresh_path, small_batches, table
 
-DISCOUNTED, GROUP_TOKENS, FOLDS, HELD_OUT = 5, 3_000_000, 7, 2
+DISCOUNTED, GROUP_TOKENS, FOLDS, HELD_OUT = 5, 2_000_000, 7, 2
 OTHER = 0  # the number of the class of unseen words; words have those after it
 PART_BYTES, FAN = 64 << 20, 32
 FIELDS = "g string, p int, payload binary, kind string"
