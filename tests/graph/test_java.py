@@ -8,6 +8,7 @@ import pytest
 
 from ripplegraph.operators import bytecode, java, mappers
 from ripplegraph.operators.analyzers import analyse
+from ripplegraph.plans import java_queries, registered  # noqa: F401  queries register as they are imported
 
 STORE = """package org.demo.stock;
 import java.util.List;
@@ -78,6 +79,22 @@ def test_calls_to_other_files_are_joined(spark):
     assert facts.where("relation_type = 'CALLS' and target_identity_id like '%Shelf#lift(Ljava/lang/Object;)V'").count() == 1
 
 
+def test_methods_of_all_files_are_never_broadcast(spark, sf):
+    files = spark.createDataFrame([(f"a/{k}.java", f"package p; class A{k} {{ void f(int a) {{ B{k}.g(a); }} }} class C{k} {{ static void h(long x) {{ }} }}") for k in range(20)] + [(f"b/{k}.java", f"package p; class B{k} {{ static void g(long x) {{ }} }}") for k in range(0, 20, 2)], "path string, content string")
+    rows = analyse(files, java.flows, java.TRACES)
+    found = java.flow_rows(rows, rows, "web")
+    assert sorted((x.owner, x.target_owner, x.target_type) for x in found.collect()) == sorted((f"p.A{k}", f"p.B{k}", "J") for k in range(0, 20, 2))
+    calls = java.java_rows(files).where("kind = 'call'")
+    assert {x.target_owner: x.target_descriptor for x in calls.collect()} == {f"p.B{k}": None if k % 2 else "(J)V" for k in range(20)}
+    for df in (found, calls, registered.QUERIES["variable_facts"](spark, sf), registered.QUERIES["java_facts"](spark, sf)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_variable_facts_read_each_file_once(spark, sf):
+    assert "MapInArrow" not in registered.QUERIES["variable_facts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_spring_parts():
     text = """package p; @RestController @RequestMapping(method = RequestMethod.GET) class A {
       @Inject B b; @Resource(name="x") C[] c; A(B b, int n) { } @Autowired void set(D d) { }
