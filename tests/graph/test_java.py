@@ -91,8 +91,9 @@ def test_methods_of_all_files_are_never_broadcast(spark, sf):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-def test_variable_facts_read_each_file_once(spark, sf):
-    assert "MapInArrow" not in registered.QUERIES["variable_facts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", ["variable_facts", "java_facts"])
+def test_each_file_is_read_once(spark, sf, name):
+    assert "MapInArrow" not in registered.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_spring_parts():
